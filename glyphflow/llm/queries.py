@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .near_duplicates import near_duplicates
 from .packing import pack_documents
 from .sentencepiece_codec import sentencepiece_digests
 from .token_counts import count_tokens
@@ -19,9 +20,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), words=3, over=85, under=100)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op6_token_counts, op7_best_fit_packing, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op6_token_counts, op7_best_fit_packing, op9_near_duplicates, op10_sentencepiece)}
 SQL: dict[str, str] = {}
