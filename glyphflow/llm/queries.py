@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .near_duplicates import near_duplicates
 from .packing import pack_documents
+from .pii import personal_data_report
 from .sentencepiece_codec import sentencepiece_digests
 from .token_counts import count_tokens
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_report(read(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -28,5 +33,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op6_token_counts, op7_best_fit_packing, op9_near_duplicates, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op5_personal_data, op6_token_counts, op7_best_fit_packing, op9_near_duplicates, op10_sentencepiece)}
 SQL: dict[str, str] = {}
