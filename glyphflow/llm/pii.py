@@ -222,6 +222,9 @@ def personal_data_report(df: DataFrame, key: str = "doc_id", text: str = "text")
     """Per row: the key, n_email, n_ip, n_card, n_phone (plain ones), base_sha256 of the plain spans, spans (all), n_added."""
     found = find_personal_data(df, key, text)
     plain = F.filter("spans", lambda s: s["plain"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["plain"] & (s["kind"] == k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    def count(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["plain"] & (s["kind"] == kind))).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     added = F.size(F.filter("spans", lambda s: ~s["plain"])).cast("long").alias("n_added")
     return found.select(key, *counts, F.sha2(spans_text(plain), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"), added)
