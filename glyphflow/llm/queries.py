@@ -9,10 +9,15 @@ from .common import read
 from .near_duplicates import near_duplicates
 from .packing import pack_documents
 from .pii import personal_data_report
+from .secrets import report_sql, secrets_report
 from .sentencepiece_codec import sentencepiece_digests
 from .token_counts import count_tokens
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_report(read(spark, sf_dir, "documents"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_report(read(spark, sf_dir, "documents"))
 
@@ -33,5 +38,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op5_personal_data, op6_token_counts, op7_best_fit_packing, op9_near_duplicates, op10_sentencepiece)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op5_personal_data, op6_token_counts, op7_best_fit_packing, op9_near_duplicates, op10_sentencepiece)}
+SQL: dict[str, str] = {"op2_secret_scan": report_sql()}
