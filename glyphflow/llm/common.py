@@ -84,3 +84,41 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
             held.append(batch.slice(a, b - a))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[int, ...], pa.RecordBatch]]:
+    """Slices of batches whose rows agree in the first ``keys`` columns, with those values; a long run comes in several slices."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(keys)], axis=1)
+        cuts = [0, *(np.flatnonzero((columns[1:] != columns[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            yield tuple(columns[a].tolist()), batch.slice(a, b - a)
+
+
+def dimension(df: DataFrame, column: str) -> int:
+    """The most frequent length of an array column, the smallest of several; 0 if there is none."""
+    from pyspark.sql import functions as F
+
+    found = df.where(F.size(column) > 0).groupBy(F.size(column).alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return found["n"] if found else 0
+
+
+def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as float64 rows, and which of them are usable: ``dim`` finite numbers, not all zero; others are zero rows."""
+    out = np.zeros((len(column), dim))
+    right = pc.equal(pc.list_value_length(column), dim).fill_null(False).to_numpy(zero_copy_only=False)
+    if right.any():
+        values = column.filter(pa.array(right)).flatten()
+        out[right] = values.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(-1, dim)
+    with np.errstate(over="ignore"):
+        norm = np.einsum("ij,ij->i", out, out)
+    good = np.isfinite(norm) & (norm > 0)
+    out[~good] = 0
+    return out, good
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of row pairs in double precision; a pair's value depends on its own numbers alone."""
+    return np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))

@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .embedding_dedup import embedding_near_duplicates
 from .near_duplicates import near_duplicates
+from .nearest_neighbours import nearest_neighbours
 from .packing import pack_documents
 from .pii import personal_data_report
 from .secrets import report_sql, secrets_report
@@ -14,10 +16,19 @@ from .sentencepiece_codec import sentencepiece_digests
 from .token_counts import count_tokens
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return nearest_neighbours(rows, rows.where("vec_id % 50 = 0"), 5)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_report(read(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_duplicates(read(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_report(read(spark, sf_dir, "documents"))
 
@@ -38,5 +49,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op5_personal_data, op6_token_counts, op7_best_fit_packing, op9_near_duplicates, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_secret_scan, op4_embedding_dedup, op5_personal_data, op6_token_counts, op7_best_fit_packing, op9_near_duplicates, op10_sentencepiece)}
 SQL: dict[str, str] = {"op2_secret_scan": report_sql()}
