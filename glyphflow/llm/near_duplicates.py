@@ -191,3 +191,16 @@ def near_duplicates(df: DataFrame, words: int = 5, over: int = 80, under: int =
     component = F.when(alone, F.col("k")).otherwise(F.coalesce("component", "rep", "k"))
     out = member.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("k").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col(key)))
+
+
+def keep_one(df: DataFrame, words: int = 5, over: int = 80, under: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df``, with all their columns, less all but the smallest key of each group of near-duplicates.
+
+    Rows with a null key stay. Of rows that repeat a key one stays.
+    """
+    found = materialise(near_duplicates(df, words, over, under, key, text))
+    kept = df.join(found.where(~F.col("kept")).select(key).distinct(), key, "left_anti").select(*df.columns)
+    repeated = found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count()
+    if repeated:
+        kept = kept.where(F.col(key).isNull()).unionByName(kept.where(F.col(key).isNotNull()).dropDuplicates([key]))
+    return kept

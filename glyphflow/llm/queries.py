@@ -11,6 +11,7 @@ from .near_duplicates import near_duplicates
 from .nearest_neighbours import nearest_neighbours
 from .packing import pack_documents
 from .pii import personal_data_report
+from .quality import quality_report
 from .secrets import report_sql, secrets_report
 from .sentencepiece_codec import sentencepiece_digests
 from .token_counts import count_tokens
@@ -25,6 +26,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_report(read(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(read(spark, sf_dir, "embeddings"), 0.93)
 
@@ -49,5 +54,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_secret_scan, op4_embedding_dedup, op5_personal_data, op6_token_counts, op7_best_fit_packing, op9_near_duplicates, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_secret_scan, op3_quality, op4_embedding_dedup, op5_personal_data, op6_token_counts, op7_best_fit_packing, op9_near_duplicates, op10_sentencepiece)}
 SQL: dict[str, str] = {"op2_secret_scan": report_sql()}
