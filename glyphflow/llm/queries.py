@@ -11,6 +11,7 @@ from .near_duplicates import near_duplicates
 from .nearest_neighbours import nearest_neighbours
 from .packing import pack_documents
 from .pii import personal_data_report
+from .pseudo_likelihood import pseudo_likelihood
 from .quality import quality_report
 from .secrets import report_sql, secrets_report
 from .sentencepiece_codec import sentencepiece_digests
@@ -46,6 +47,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(read(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), words=3, over=85, under=100)
 
@@ -54,5 +59,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_secret_scan, op3_quality, op4_embedding_dedup, op5_personal_data, op6_token_counts, op7_best_fit_packing, op9_near_duplicates, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_secret_scan, op3_quality, op4_embedding_dedup, op5_personal_data, op6_token_counts, op7_best_fit_packing, op8_pseudo_likelihood, op9_near_duplicates, op10_sentencepiece)}
 SQL: dict[str, str] = {"op2_secret_scan": report_sql()}
