@@ -137,7 +137,9 @@ def _links(rows: DataFrame, clusters: DataFrame, words: int, over: int, under: i
     #: Six standard errors below the threshold.
     floor = over / under - 6 * (over / under * (1 - over / under) / (bands * ROWS)) ** 0.5
     sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = rows.join(clusters.join(sizes, "component").select(F.col("id").alias("k"), F.col("component").alias("c"), "blocks"), "k")
+    wanted = clusters.join(sizes, "component").select(F.col("id").alias("k"), F.col("component").alias("c"), "blocks")
+    # The same plan at every size: ids are the build side, texts stream past them unsorted.
+    members = rows.join(wanted.hint("shuffle_hash"), "k")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
