@@ -201,7 +201,7 @@ def keep_one(df: DataFrame, words: int = 5, over: int = 80, under: int = 100, ke
     Rows with a null key stay. Of rows that repeat a key one stays.
     """
     found = materialise(near_duplicates(df, words, over, under, key, text))
-    kept = df.join(found.where(~F.col("kept")).select(key).distinct(), key, "left_anti").select(*df.columns)
+    kept = df.join(found.where(~F.col("kept")).select(key).distinct().hint("shuffle_hash"), key, "left_anti").select(*df.columns)
     repeated = found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count()
     if repeated:
         kept = kept.where(F.col(key).isNull()).unionByName(kept.where(F.col(key).isNotNull()).dropDuplicates([key]))

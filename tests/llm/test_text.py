@@ -1,0 +1,213 @@
+"""Secrets, personal data, quality and language-model scores."""
+
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from glyphflow.llm import kneser_ney as K
+from glyphflow.llm import pii, pseudo_likelihood, quality, secrets, window_network
+from glyphflow.llm.trigrams import trigram_query
+
+from ..conftest import DATA
+from .conftest import documents
+
+# ---- secrets -------------------------------------------------------------------------------------------------
+
+SECRET_TEXTS = [
+    'x password = "hunter22" y', "passwd:abcdef api-key=abcdefgh API_KEY=abcdefgh apikey: 'abc'", "AKIA" + "A" * 16 + " AKIA123", "f" * 24 + " " + "0" * 23, "token=token:abcdefgh",
+    "secret = " + "a1" * 20, "é🙂 token=abcdef🙂 " + "ab" * 12, "ghp_" + "a" * 36, "-----BEGIN RSA PRIVATE KEY-----", "plain", "K" + "token=" + "x" * 9, "ab" * 5000,
+]
+
+
+def python_spans(text, rules):
+    found = [(m.start(), n, m.end()) for n, r in enumerate(rules) for m in re.finditer(r.pattern, text) if len(m[r.group]) >= r.least]
+    return sorted(found)
+
+
+def test_secrets_equal_full_scans(spark, odd, nothing):
+    rows = [*enumerate(SECRET_TEXTS), (100, None), (0, SECRET_TEXTS[0]), (None, SECRET_TEXTS[1])]
+    df = documents(spark, rows)
+    found = secrets.find_secrets(df).select("doc_id", "text", "spans", "k", "t").collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert [tuple(s) for s in r["spans"]] == python_spans(r["text"] or "", secrets.RULES)
+    report = secrets.secrets_report(df).collect()
+    for r in report:
+        text = {i: t for i, t in rows}[r["doc_id"]] or ""
+        base = [(a, n, b) for a, n, b in python_spans(text, secrets.BASE)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{secrets.BASE[n].kind}:{a}:{b}" for a, n, b in base).encode()).hexdigest()
+    assert secrets.secrets_report(nothing).count() == 0 and secrets.secrets_report(odd).count() == odd.count()
+
+
+def test_redaction(spark):
+    df = documents(spark, [(0, SECRET_TEXTS[0]), (1, "plain"), (2, None), (3, SECRET_TEXTS[5])])
+    found = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(df).collect()}
+    assert found == {0: 'x [SECRET]" y', 1: "plain", 2: None, 3: "[SECRET]"}
+    assert secrets.redact_secrets(df).columns == df.columns
+
+
+@pytest.mark.parametrize(
+    ("pattern", "query"),
+    [("abcd", [{"abc", "bcd"}]), ("ab", None), ("abc|xyz", [{"abc"}, {"xyz"}]), ("(abc)?def", [{"def"}]), ("[ab]bc", [{"abc"}, {"bbc"}]), ("[0-9]{4}", None), ("a(bc)+", [{"abc"}]), ("abc|x", None)],
+)
+def test_queries_from_expressions(pattern, query):
+    got = trigram_query(pattern)
+    assert (got if got is None else {frozenset(c) for c in got}) == (query if query is None else {frozenset(c) for c in query})
+
+
+@given(st.data())
+@settings(max_examples=200, deadline=None)
+def test_matches_satisfy_the_query(data):
+    rule = data.draw(st.sampled_from([r for r in secrets.RULES if r.query]))
+    text = data.draw(st.from_regex(re.compile(rule.pattern), fullmatch=False)).lower()
+    assert any(all(g in text for g in clause) for clause in rule.query)
+
+
+# ---- personal data -------------------------------------------------------------------------------------------
+
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def definition(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PLAIN.items()):
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (12 <= len(digits) <= 19 and sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(reversed(digits))) % 10 == 0):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+@given(st.text(alphabet="0123456789.. -+()@ab.", max_size=60))
+@settings(max_examples=2000, deadline=None)
+def test_plain_matches(text):
+    assert pii.find_plain(text) == definition(text)
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        ("mail john [at] example [dot] com!", "email", "john [at] example [dot] com"),
+        ("to john.doe at example dot com now", "email", "john.doe at example dot com"),
+        ("jоhn@exаmple.com", "email", "jоhn@exаmple.com"),
+        ("x j​ohn@ex.com", "email", "j​ohn@ex.com"),
+        ("call plus one two three four five six seven eight nine zero one", "phone", "plus one two three four five six seven eight nine zero one"),
+        ("４１１１ 1111 1111 1111", "card", "４１１１ 1111 1111 1111"),
+        ("192[.]168[.]1[.]1", "ip", "192[.]168[.]1[.]1"),
+    ],
+)
+def test_disguises(spark, text, kind, span):
+    df = documents(spark, [(0, "🙂 " + text)])
+    (row,) = pii.find_personal_data(df).collect()
+    added = [s for s in row["spans"] if not s["plain"]]
+    assert [(pii.KINDS[s["kind"]], ("🙂 " + text)[s["start"] : s["end"]]) for s in added] == [(kind, span)]
+
+
+def test_ordinary_text_stays_alone():
+    for text in ("see the point at home. dot it", "one two three", "Привет мир", "at the dot com boom he looked"):
+        assert pii.find_disguised(text, []) == []
+
+
+def test_personal_data_report(spark, odd, nothing):
+    texts = [(0, "a@b.co 1.2.3.4 +1 (555) 123-4567 4111 1111 1111 1111"), (1, None), (2, ""), (3, "1" * 5000), (4, "a" * 50000), (5, "@" * 5000)]
+    for r in pii.personal_data_report(documents(spark, texts)).collect():
+        base = definition(dict(texts)[r["doc_id"]] or "")
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x == k for _, x, _ in base) for k in range(4)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+    assert pii.personal_data_report(odd).count() == odd.count() and pii.personal_data_report(nothing).count() == 0
+
+
+# ---- quality -------------------------------------------------------------------------------------------------
+
+
+def test_probabilities_sum_to_one():
+    rng = np.random.default_rng(0)
+    codes, counts = np.unique(rng.integers(0, 12, 5000) * K.SYMBOLS + rng.integers(0, 12, 5000), return_counts=True)
+    table = K.surprise(codes, counts).reshape(-1, K.SYMBOLS)
+    assert np.abs((2.0 ** (-table.astype(float) / K.STEP)).sum(axis=1) - 1).max() < 0.06  # stored in eighths of a bit
+
+
+def test_grams_do_not_cross_texts():
+    syms = np.array([1, 2, 3, 4, 5])
+    got = K.grams(syms, np.array([0, 3]))
+    s = K.SYMBOLS
+    assert got.tolist() == [1, s + 2, s * s + 2 * s + 3, 4, 4 * s + 5]
+
+
+def test_kneser_ney_by_hand():
+    """A bigram of the text is likelier than its parts in another order; what was seen is likelier than what was not."""
+    text = np.array([1, 2, 1, 2, 1, 2, 3] * 50)
+    codes, n = np.unique(K.grams(text, np.array([0])), return_counts=True)
+    table = K.surprise(codes, n)
+    s = K.SYMBOLS
+    seen, never = table[1 * s**3 + 2 * s**2 + 1 * s + 2], table[1 * s**3 + 2 * s**2 + 1 * s + 3]
+    assert seen < 4 < never
+
+
+def test_quality_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = quality.quality_report(docs, labels).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("keep").cast("int")).alias("kept")).collect()
+    kept = {r["quality"]: r["kept"] for r in found}
+    assert kept[1] >= 0.95 and kept[0] <= 0.3
+
+
+def test_quality_edges(spark, odd, nothing):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(0, 1, 0), (1, None, 0), (None, 1, 1), (2, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    for given_labels in (none, labels):
+        assert quality.quality_report(odd, given_labels).where("keep").count() == odd.count()
+        assert quality.keep_quality(odd, given_labels).columns == odd.columns
+        assert quality.quality_report(nothing, given_labels).count() == 0
+    odd_langs = documents(spark, [(i, "some text here") for i in range(4)], {0: None, 1: "*", 2: "xx"})
+    assert quality.quality_report(odd_langs, labels).count() == 4
+
+
+# ---- pseudo-likelihood ---------------------------------------------------------------------------------------
+
+
+def test_log_probabilities_by_hand():
+    rng = np.random.default_rng(0)
+    flat = rng.standard_normal(window_network.SIZE).astype(np.float32) * 0.3
+    tables, hidden, out, bias = window_network.views(flat)
+    padded = np.concatenate([[256, 256], rng.integers(0, 256, 20), [256, 256]]).astype(np.int16)
+    got = window_network.log_probabilities(flat, padded, np.arange(2, 22), batch=7)
+    for i in range(2, 22):
+        h = np.tanh(sum(tables[k][padded[i + p]] for k, p in enumerate(window_network.PLACES)) + hidden)
+        logits = h @ out + bias
+        assert abs(got[i - 2] - (logits[padded[i]] - np.log(np.exp(logits.astype(float)).sum()))) < 1e-4
+
+
+def test_training_learns_from_both_sides():
+    rng = np.random.default_rng(0)
+    outer = rng.integers(0, 50, 8000)
+    tokens = np.full(16002 + 2, 256, np.int16)
+    tokens[2 : 2 + 16000 : 2] = outer
+    tokens[3 : 3 + 15998 : 2] = (outer[:-1] + outer[1:]) % 2 + 100  # told by both neighbours
+    at = np.arange(3, 3 + 15998, 2)
+    flat = window_network.start(np.bincount(tokens[2:-4], minlength=256).astype(float))
+    trainer = window_network.Trainer(flat)
+    for _ in range(12):
+        trainer.train(tokens, at)
+    before, after = (window_network.log_probabilities(f, tokens, at).mean() for f in (flat, trainer.flat))
+    assert after > before + 0.3
+
+
+def test_scores(spark, odd, nothing):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    found = {r["doc_id"]: r for r in pseudo_likelihood.pseudo_likelihood(docs).collect()}
+    for r in docs.collect():
+        assert found[r["doc_id"]]["n_tokens"] == len(re.findall(r"[^ \t-\r]+", r["text"] or ""))
+    assert all(r["log_likelihood"] <= 0 for r in found.values())
+    empty = [r for r in pseudo_likelihood.pseudo_likelihood(odd).collect() if r["n_tokens"] == 0]
+    assert empty and all(r["log_likelihood"] == 0 and r["mean_log_likelihood"] is None for r in empty)
+    assert pseudo_likelihood.pseudo_likelihood(nothing).count() == 0
