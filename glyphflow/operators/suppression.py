@@ -17,7 +17,7 @@ from glyphflow.config import DEFAULTS
 from glyphflow.functions.geometry import iou
 
 #: Boxes of a page up to which the fold over arrays is the faster one.
-FOLD = 250
+FOLD = 16
 
 
 def suppress_array(boxes: Column, limit: float = DEFAULTS.overlap_iou) -> Column:
@@ -27,21 +27,34 @@ def suppress_array(boxes: Column, limit: float = DEFAULTS.overlap_iou) -> Column
     return F.aggregate(order, none, lambda kept, b: F.when(F.exists(kept, lambda k: iou(k, b) > limit), kept).otherwise(F.concat(kept, F.array(b))))
 
 
-def suppress_rows(score: np.ndarray, ids: np.ndarray, box: np.ndarray, limit: float = DEFAULTS.overlap_iou) -> np.ndarray:
-    """Rows that stay, best first; ``box``: x1, y1, x2, y2 per row. Each box that stays rules out later ones at once."""
+def _shares(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, a: slice, b: slice) -> np.ndarray:
+    """IoU of boxes ``a`` (rows) and ``b`` (columns)."""
+    width = np.minimum(x2[a, None], x2[None, b]) - np.maximum(x1[a, None], x1[None, b])
+    height = np.minimum(y2[a, None], y2[None, b]) - np.maximum(y1[a, None], y1[None, b])
+    inter = np.maximum(width, 0) * np.maximum(height, 0)
+    area = (x2 - x1) * (y2 - y1)
+    union = area[a, None] + area[None, b] - inter
+    return np.where(union < 1e-6, 0.0, inter / np.maximum(union, 1))
+
+
+def suppress_rows(score: np.ndarray, ids: np.ndarray, box: np.ndarray, limit: float = DEFAULTS.overlap_iou, block: int = 512) -> np.ndarray:
+    """Rows that stay, best first; ``box``: x1, y1, x2, y2 per row.
+
+    Boxes are compared a block at a time: within it one after the other, then
+    those of the block that stay rule out later ones together.
+    """
     order = np.lexsort((-ids, -score))
     x1, y1, x2, y2 = box[order].T.astype(np.int64)
-    area = (x2 - x1) * (y2 - y1)
     alive = np.ones(len(order), bool)
-    for i in range(len(order)):
-        if alive[i]:
-            rest = np.flatnonzero(alive[i + 1 :]) + i + 1
-            width = np.minimum(x2[i], x2[rest]) - np.maximum(x1[i], x1[rest])
-            height = np.minimum(y2[i], y2[rest]) - np.maximum(y1[i], y1[rest])
-            inter = np.maximum(width, 0) * np.maximum(height, 0)
-            union = area[i] + area[rest] - inter
-            share = np.where(union < 1e-6, 0.0, inter / np.maximum(union, 1))
-            alive[rest[share > limit]] = False
+    for at in range(0, len(order), block):
+        to = min(at + block, len(order))
+        over = _shares(x1, y1, x2, y2, slice(at, to), slice(at, to)) > limit
+        for i in range(to - at):
+            if alive[at + i]:
+                alive[at + i + 1 : to] &= ~over[i, i + 1 :]
+        for later in range(to, len(order), block):
+            rest = slice(later, min(later + block, len(order)))
+            alive[rest] &= ~(_shares(x1, y1, x2, y2, slice(at, to), rest) > limit)[alive[at:to]].any(axis=0)
     return order[alive]
 
 

@@ -72,6 +72,10 @@ def test_suppression_small_and_large_pages(spark):
     for fold in (0, 100, 1000):
         assert {(r["page"], r["id"]) for r in suppression.suppress(df, fold=fold).select("page", "id").collect()} == want
     assert suppression.suppressed(df).count() == len(rows) - len(want)
+    two = np.array([r for r in rows if r[0] == 2], object)
+    for block in (16, 512):
+        kept = suppression.suppress_rows(two[:, 6].astype(float), two[:, 1].astype(int), two[:, 2:6].astype(int), block=block)
+        assert {(2, int(two[k, 1])) for k in kept} == {w for w in want if w[0] == 2}
 
 
 def test_iou_of_exactly_the_limit_stays(spark):
