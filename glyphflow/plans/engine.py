@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from glyphflow.config import DEFAULTS, Settings
 from glyphflow.functions import raster
 from glyphflow.operators.ctc import decode_numpy
-from glyphflow.operators.ordering import reading_order
+from glyphflow.operators.ordering import order_rows, reading_order
 from glyphflow.operators.suppression import suppress, suppress_rows
 from glyphflow.operators.tiling import keep_core, with_tiles
 from glyphflow.plans.inference import Models, loaded, release
@@ -98,15 +98,11 @@ def detect_tiled(image: np.ndarray, models: Models, s: Settings) -> tuple[list[n
 
 
 def in_reading_order(boxes: list[np.ndarray], s: Settings) -> list[int]:
-    """Places of boxes in the order that ordering.order_array gives by top left corners."""
-    done: list[int] = []
-    for k in sorted(range(len(boxes)), key=lambda k: (boxes[k][0][1], boxes[k][0][0], k)):
-        x, y = boxes[k][0]
-        at = len(done)
-        while at and abs(y - boxes[done[at - 1]][0][1]) < s.same_line and x < boxes[done[at - 1]][0][0]:
-            at -= 1
-        done.insert(at, k)
-    return done
+    """Places of boxes in reading order, by top left corners."""
+    if not boxes:
+        return []
+    x, y = np.array([b[0] for b in boxes], np.int64).T
+    return order_rows(x, y, np.arange(len(boxes)), s.same_line)
 
 
 def read_crops(crops: list[np.ndarray], models: Models, config: EngineConfig) -> list[tuple[str, float, int]]:

@@ -72,6 +72,7 @@ def test_suppression_small_and_large_pages(spark):
     for fold in (0, 100, 1000):
         assert {(r["page"], r["id"]) for r in suppression.suppress(df, fold=fold).select("page", "id").collect()} == want
     assert suppression.suppressed(df).count() == len(rows) - len(want)
+    assert {(r["page"], r["id"]) for r in suppression.suppress_spread(df).select("page", "id").collect()} == want
     two = np.array([r for r in rows if r[0] == 2], object)
     for block in (16, 512):
         kept = suppression.suppress_rows(two[:, 6].astype(float), two[:, 1].astype(int), two[:, 2:6].astype(int), block=block)
@@ -107,9 +108,10 @@ def test_order_in_columns(spark):
     rng = np.random.default_rng(1)
     rows = [(p, i, int(rng.integers(0, 100)), int(rng.integers(0, 80))) for p in range(40) for i in range(12)]
     df = spark.createDataFrame(rows, "page int, id int, x1 int, y1 int")
-    found = ordering.reading_order(df).orderBy("page", "box_idx").collect()
-    for p in range(40):
-        assert [(r["x1"], r["y1"]) for r in found if r["page"] == p] == swaps([(x, y) for q, i, x, y in rows if q == p])
+    for fold in (0, 128):
+        found = ordering.reading_order(df, fold=fold).orderBy("page", "box_idx").collect()
+        for p in range(40):
+            assert [(r["x1"], r["y1"]) for r in found if r["page"] == p] == swaps([(x, y) for q, i, x, y in rows if q == p])
 
 
 DICT = ["blank", "a", "b", "c"]
