@@ -6,11 +6,11 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from glyphflow.operators.ctc import mask_array
 from glyphflow.plans.engine import EngineConfig, EngineType, create_engine
 from glyphflow.plans.inference import OnnxLoader
+from glyphflow.plans.progress import observed, watched
 from glyphflow.plans.sinks import output_folder, write_files
 from glyphflow.sources.dictionaries import allowed_characters, character_dictionary
 from glyphflow.sources.images import NoImages, list_images, read_images
@@ -42,11 +42,11 @@ def main(argv: list[str] | None = None, loader=None) -> int:
         mask = tuple(mask_array(dictionary, {r["ch"] for r in allowed_characters(spark, f"{args.model_dir}/{args.lang}.txt").collect()}))
     engine = create_engine(args.engine, EngineConfig(loader or OnnxLoader(args.model_dir), tuple(dictionary), mask))
     images = read_images(spark, args.input)
-    results = engine.transform(images).persist()
+    results, totals = observed(engine.transform(images))
+    results = results.persist()  # read by the test for collisions and by the writer
     folder = output_folder(spark, args.input, args.output)
-    written = write_files(results, folder, images, not args.no_text)
-    texts = results.agg(F.sum("text_count")).first()[0]
-    print(f"{written} of {files.count()} images, {texts} texts, in {folder}")
+    written = watched(spark, lambda: write_files(results, folder, images, not args.no_text), lambda done, known: print(f"{done} of {known} tasks", file=sys.stderr))
+    print(f"{written} of {files.count()} images, {totals.get['texts']} texts, in {folder}")
     results.unpersist()
     return 0
 

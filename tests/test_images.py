@@ -173,6 +173,16 @@ def test_tiles_as_tasks_give_the_same_boxes(spark, pages):
     assert spread == {p: b for p, b in results.items() if b}
 
 
+def test_progress(spark, pages):
+    from glyphflow.plans.progress import observed, watched
+
+    results, totals = observed(TiledEngine(EngineConfig(StubLoader(), DICT)).transform(read_images(spark, str(pages))))
+    said = []
+    rows = watched(spark, results.collect, lambda done, known: said.append((done, known)), 0.05)
+    assert totals.get == {"images": 4, "texts": 41, "empty_images": 1} and len(rows) == 4
+    assert said[-1][0] == said[-1][1] > 0
+
+
 def test_unknown_engine():
     with pytest.raises(ValueError):
         create_engine("other", EngineConfig(StubLoader(), DICT))
