@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker handles at once, so that its memory
 #: doesn't depend on how many rows Spark puts into an Arrow batch.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,6 +52,23 @@ def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterato
         at = to
 
 
+def tidy(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A task's function that gives freed memory back to the system at its end: a Python worker outlives its tasks."""
+
+    @wraps(run)
+    def whole(*args, **kwargs):
+        try:
+            yield from run(*args, **kwargs)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 def chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Texts cut at U+0020: offsets of each text's chunks, each chunk's code, and the distinct chunks by code."""
     cut = pc.split_pattern(texts, " ")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cosines, dimension, materialise, matrix, runs
+from .common import cosines, dimension, materialise, matrix, runs, tidy
 from .components import connected_components
 from .kmeans import kmeans, nearest
 
@@ -182,6 +182,7 @@ def embedding_near_duplicates(df: DataFrame, cosine: float = 0.93, key: str = "v
     probing = probing.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
     both = stored.select(columns).union(probing.select(columns)).repartition("label", "list", "block").sortWithinPartitions("label", "list", "block", "side")
 
+    @tidy
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, now = None, None
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, materialise, slices
+from .common import grouped, materialise, slices, tidy
 from .components import connected_components
 from .hyperminhash import ROWS, band_keys, bands_for, digest, estimate, mix, registers, shingle_sets
 
@@ -42,6 +42,7 @@ def _signatures(rows: DataFrame, words: int, over: int, under: int) -> DataFrame
     bands = bands_for(over / under)
     reach = SMALL * under // over
 
+    @tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
@@ -141,6 +142,7 @@ def _links(rows: DataFrame, clusters: DataFrame, words: int, over: int, under: i
     # The same plan at every size: ids are the build side, texts stream past them unsorted.
     members = rows.join(wanted.hint("shuffle_hash"), "k")
 
+    @tidy
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 3):
@@ -157,6 +159,7 @@ def _links(rows: DataFrame, clusters: DataFrame, words: int, over: int, under: i
     held = held.select("c", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") > F.col("y")).cast("int").alias("side"), "k", "regs", "own")
     held = held.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "k")
 
+    @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, 3):
             if group.num_rows < 2:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cosines, dimension, matrix, runs
+from .common import cosines, dimension, matrix, runs, tidy
 
 PROJECTED = 8
 CONFIDENCE = 0.98
@@ -139,6 +139,7 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame, k: int = 5, key: str =
     shown = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), "id", "v")
     both = held.union(shown).repartition(blocks, "block").sortWithinPartitions("block", "side")
 
+    @tidy
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, now, index = [], None, None
         for (block, side), part in runs(batches, 2):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import materialise, slices, tidy
 from .word_tokenizer import WordTokenizer
 
 #: Pieces of one length that a task ranks, about.
@@ -100,6 +100,7 @@ def document_pieces(df: DataFrame, path: str, capacity: int, key: str, text: str
     tail = np.array([end_id], "<u4").tobytes()
     names = ["k", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = None
         for batch in batches:

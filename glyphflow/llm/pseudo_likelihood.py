@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import materialise, slices, tidy
 from .window_network import PAD, SIZE, TOKENS, Trainer, log_probabilities, start
 
 BUCKETS = 4096
@@ -70,6 +70,7 @@ def train(tokens: DataFrame, token_of: np.ndarray, counts: np.ndarray) -> np.nda
     for number in range(ROUNDS):
         now = flat
 
+        @tidy
         def fit(batches: Iterator[pa.RecordBatch], now=now, number=number) -> Iterator[pa.RecordBatch]:
             trainer = Trainer(now)
             for part in _parts(batches, 0):
@@ -117,6 +118,7 @@ def pseudo_likelihood(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     kind = dict(rows.dtypes)["k"]
 
+    @tidy
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
@@ -136,6 +138,7 @@ def pseudo_likelihood(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     token_of[np.argsort(-counts, kind="stable")[: TOKENS - SHARED]] = np.arange(TOKENS - SHARED)
     flat = df.sparkSession.sparkContext.broadcast(train(tokens, token_of, counts))
 
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches, 1):
             padded, places, sizes = _padded(part.column(1).to_pylist(), token_of)

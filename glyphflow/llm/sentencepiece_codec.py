@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import agenda
-from .common import chunks, slices
+from .common import chunks, slices, tidy
 from .pieces import SPACE, Pieces, irregular, runs
 
 #: Pre-tokens that a worker remembers, and the longest one that it does.
@@ -147,6 +147,7 @@ class Codec:
 def _mapped(df: DataFrame, path: str, key: str, text: str, checked: bool, made: Callable, schema: str) -> DataFrame:
     rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in batches:

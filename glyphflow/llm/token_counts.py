@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import merge_ragged
-from .common import chunks, slices
+from .common import chunks, slices, tidy
 from .pieces import SPACE, Pieces, irregular, runs
 
 #: Pre-tokens that a worker remembers, and the longest one that it does.
@@ -85,6 +85,7 @@ def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     """
     rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = None
         for batch in batches:

@@ -18,7 +18,7 @@ from .bpe import PairTable, merge_ragged
 from .common import chunks
 
 #: Chunks that a worker remembers, and the longest one that it does.
-MEMORY, LONG = 800_000, 200
+MEMORY, LONG = 450_000, 200
 #: Of so many new chunks one is also encoded by the library.
 CHECK_EACH = 200
 #: Text that is in NFC and for which lower() does what the library does, and its pre-tokens.
