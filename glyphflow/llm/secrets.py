@@ -61,8 +61,9 @@ def postings(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     grams = sorted({g for r in rules for clause in r.query or () for g in clause})
     if not grams:
         return rows.select(K, F.lit("").alias("gram")).limit(0)
-    low = F.lower(T)
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams]))
+    asked = F.array(*map(F.lit, grams))
+    # The lower-case text is bound by the outer function; written out, it would be made anew for every trigram.
+    held = F.transform(F.array(F.lower(T)), lambda low: F.filter(asked, lambda g: F.contains(low, g)))[0]
     return rows.select(K, F.explode(held).alias("gram"))
 
 
