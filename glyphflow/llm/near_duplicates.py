@@ -3,9 +3,11 @@
 1. One pass over the texts gives each document the digest of its shingle set,
    its HyperMinHash registers and the keys of its bands.  Documents with equal
    sets become one class.
-2. In each band the smallest class id leads; every other member is paired with
-   the leader only, so a band of n members gives n - 1 pairs.  Pairs whose
-   collision-corrected estimate is at least COARSE join a cluster.
+2. Members of a key are paired with its smallest class id.  Pairs whose
+   collision-corrected estimate is at least COARSE join a cluster.  Where all
+   members of a key join their leader, no other pair of it is needed; where the
+   leader rejects any, blocks of the key's members meet in tasks of their own,
+   and every pair that is not in one cluster yet is estimated.
 3. Within a cluster, blocks of members meet in tasks of their own.  Registers
    rule out what is surely below the threshold, full shingle sets decide on the
    rest, and a pair that is linked already through others is passed over, so a
@@ -14,8 +16,10 @@
 
 Sets of up to SMALL shingles, for which a sketch says little, also meet through
 their first shingles in hash order: two sets at the threshold share one of them
-(prefix filtering), so these lose nothing.  For larger ones a pair at the
-threshold is missed with a probability of about 1e-7.
+(prefix filtering).  Larger ones at the threshold share no band with a
+probability of about 1e-7.  All pairs of a key are candidates, so beyond that a
+pair is missed only if its estimate is below COARSE (for a similarity of 0.8 ten
+standard errors).  n members that are all unlike cost n * n / 2 estimates.
 """
 
 from __future__ import annotations
@@ -29,13 +33,15 @@ from pyspark.sql import functions as F
 
 from .common import grouped, materialise, slices, tidy
 from .components import connected_components
-from .hyperminhash import ROWS, band_keys, bands_for, digest, estimate, mix, registers, shingle_sets
+from .hyperminhash import EMPTY, ROWS, band_keys, bands_for, digest, estimate, mix, registers, shingle_sets
 
 SMALL = 32
 #: Pairs join a cluster from this estimate on; the standard error is 0.04 at most.
 COARSE = 0.4
 #: Members of a cluster that a task holds of either side.
 BLOCK = 512
+#: Members of a key that a task holds of either side; only registers are held of these.
+KEY_BLOCK = 2048
 
 
 def _signatures(rows: DataFrame, words: int, over: int, under: int) -> DataFrame:
@@ -68,11 +74,12 @@ def _signatures(rows: DataFrame, words: int, over: int, under: int) -> DataFrame
     return rows.mapInArrow(sign, f"k {dict(rows.dtypes)['k']}, n long, h binary, regs binary, keys array<long>")
 
 
-def _cluster_edges(classes: DataFrame, over: int, under: int) -> DataFrame:
-    """(a, b): pairs of a band's leader and a member that may be in one cluster."""
-    keys = classes.select("rep", F.explode("keys").alias("key"))
-    leads = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    pairs = keys.join(leads, "key").where("rep != lead").select("lead", "rep").distinct()
+def _cluster_edges(classes: DataFrame) -> DataFrame:
+    """(a, b): pairs that join the members of a key that may be in one cluster."""
+    keys = classes.select("rep", F.explode("keys").alias("key")).distinct()
+    leads = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    led = materialise(keys.join(leads, "key").where("rep != lead").select("key", "lead", "rep", "members"))
+    pairs = led.select("lead", "rep").distinct()
     of = classes.select("rep", "n", "regs")
     both = pairs.join(of, "rep").select("rep", "lead", "n", "regs").join(of.select(F.col("rep").alias("lead"), F.col("n").alias("n2"), F.col("regs").alias("regs2")), "lead")
 
@@ -83,10 +90,59 @@ def _cluster_edges(classes: DataFrame, over: int, under: int) -> DataFrame:
             a, b = (np.stack([np.frombuffer(x, np.uint16) for x in batch.column(k).to_pylist()]) for k in (3, 5))
             n, n2 = (batch.column(k).to_numpy() for k in (2, 4))
             near = pa.array(estimate(a, b, n, n2) >= COARSE)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), near], ["a", "b", "near"])
 
     kind = dict(classes.dtypes)["rep"]
-    return both.select("lead", "rep", "n", "regs", "n2", "regs2").mapInArrow(close, f"a {kind}, b {kind}")
+    met = materialise(both.select("lead", "rep", "n", "regs", "n2", "regs2").mapInArrow(close, f"a {kind}, b {kind}, near boolean"))
+    rejected = met.where("not near").select(F.col("a").alias("lead"), F.col("b").alias("rep"))
+    mixed = led.join(rejected, ["lead", "rep"], "left_semi").select("key").distinct()
+    return met.where("near").select("a", "b").union(_mixed_edges(led.join(mixed, "key", "left_semi"), of))
+
+
+def _mixed_edges(led: DataFrame, of: DataFrame) -> DataFrame:
+    """(a, b): pairs that join the members of keys whose leader rejects some; every pair of a key meets in a task."""
+    blocks = F.ceil(F.col("members") / KEY_BLOCK).cast("int").alias("blocks")
+    members = led.select("key", "rep", blocks).union(led.select("key", F.col("lead").alias("rep"), blocks).distinct())
+    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    held = members.join(of, "rep").withColumn("x", mine).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = held.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") > F.col("y")).cast("int").alias("side"), "rep", "n", "regs")
+    held = held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+
+    @tidy
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, 3):
+            ids, side, n = (group[c].to_numpy() for c in ("rep", "side", "n"))
+            regs = np.stack([np.frombuffer(x, np.uint16) for x in group["regs"].to_pylist()])
+            found = list(_coarse_links(ids, side, n, regs))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, group["rep"].type) for x in zip(*found, strict=True)], ["a", "b"])
+
+    kind = dict(of.dtypes)["rep"]
+    return held.mapInArrow(meet, f"a {kind}, b {kind}")
+
+
+def _coarse_links(ids: np.ndarray, side: np.ndarray, n: np.ndarray, regs: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links that join a task's members as far as estimates of at least COARSE do; ``side`` as for ``_block_links``."""
+    joined = _Joined(len(ids))
+    whole = not side.any()
+    rest = np.flatnonzero(side)
+    filled = regs != EMPTY
+    for i in range(len(ids)) if whole else np.flatnonzero(side == 0).tolist():
+        other = np.arange(i + 1, len(ids)) if whole else rest
+        other = other[joined.roots()[other] != joined.root(i)]
+        if not len(other):
+            continue
+        # The share of equal registers is never below the estimate.
+        equal = ((regs[other] == regs[i]) & filled[i]).sum(axis=1)
+        other = other[equal >= COARSE * (filled[other] | filled[i]).sum(axis=1)]
+        if not len(other):
+            continue
+        near = estimate(regs[other], np.broadcast_to(regs[i], (len(other), regs.shape[1])), n[other], np.full(len(other), n[i])) >= COARSE
+        for j in other[near].tolist():
+            a, b = joined.root(i), joined.root(j)
+            if a != b:
+                joined.up[max(a, b)] = min(a, b)
+                yield int(ids[i]), int(ids[j])
 
 
 class _Joined:
@@ -189,7 +245,7 @@ def near_duplicates(df: DataFrame, words: int = 5, over: int = 80, under: int =
     signed = materialise(_signatures(rows, words, over, under))
     taking = signed.where("n > 0 and k is not null")
     classes = materialise(taking.groupBy("h").agg(F.min("k").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("keys").alias("keys")))
-    clusters = materialise(connected_components(_cluster_edges(classes, over, under)))
+    clusters = materialise(connected_components(_cluster_edges(classes)))
     components = connected_components(_links(rows.where("k is not null"), clusters, words, over, under))
     member = signed.join(classes.select("h", "rep"), "h", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")
     alone = F.col("n") == 0

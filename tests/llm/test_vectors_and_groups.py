@@ -85,6 +85,33 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch, words, over, block)
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), want, want == r["doc_id"])
 
 
+@pytest.mark.parametrize("block", [4, 2048])
+def test_near_copies_led_by_unlike_documents(spark, monkeypatch, block):
+    """Short copies that meet each other only through lines that unlike documents of smaller id hold, too."""
+    monkeypatch.setattr(near_duplicates, "KEY_BLOCK", block)
+    copies = [(1000 + 2 * i + k, " ".join([*(f"line{i}w{w}" for w in range(20)), *["end"] * k])) for i in range(10) for k in (0, 1)]
+    # One unlike document per shingle of five words of a pair, with that shingle only.
+    unlike = []
+    for _, text in copies[::2]:
+        words = text.split()
+        for k in range(len(words) - 4):
+            own = len(unlike)
+            unlike.append((own, " ".join([*(f"o{own}x{m}" for m in range(30)), *words[k : k + 5], *(f"p{own}x{m}" for m in range(2))])))
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(documents(spark, [*unlike, *copies])).collect()}
+    assert all(found[k] == k for k, _ in unlike)
+    assert [found[1000 + n] for n in range(len(copies))] == [1000 + n - n % 2 for n in range(len(copies))]
+
+
+def test_keys_with_rejected_members_join_all_alike():
+    rng = np.random.default_rng(3)
+    base = [np.unique(rng.integers(1, 1 << 63, 60, dtype=np.uint64)) for _ in range(3)]
+    sets = [base[0], base[1], base[2], np.unique(np.append(base[1][2:], np.uint64(7))), np.unique(np.append(base[2][2:], np.uint64(9)))]
+    n = np.array([len(x) for x in sets])
+    regs = registers(np.concatenate(sets), n, 205)
+    assert list(near_duplicates._coarse_links(np.arange(5), np.zeros(5, int), n, regs)) == [(1, 3), (2, 4)]
+    assert list(near_duplicates._coarse_links(np.arange(5), np.array([0, 0, 0, 1, 1]), n, regs)) == [(1, 3), (2, 4)]
+
+
 def test_near_duplicates_edges(spark, odd, nothing):
     assert near_duplicates.near_duplicates(odd).count() == odd.count()
     assert near_duplicates.near_duplicates(nothing).count() == 0
