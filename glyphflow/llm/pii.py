@@ -86,8 +86,13 @@ _SPELLED = {
 _WORDS = "|".join(sorted(_SPELLED, key=lambda w: (-len(w), w)))
 _AT, _DOT, _OPEN, _CLOSE = "at|arroba|arobase|ät", "dot|punkt|punto|point", r"[\[({<]", r"[\])}>]"
 _LOOK = r"[\x{00AD}\x{0370}-\x{03FF}\x{0400}-\x{052F}\x{0660}-\x{0669}\x{06F0}-\x{06F9}\x{0966}-\x{096F}\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{FF01}-\x{FF5E}]"
-#: Signs of disguise, for Arrow.
-_SIGNS = rf"{_LOOK}|(?i:{_OPEN}\s*(?:{_AT}|@|{_DOT}|\.)\s*{_CLOSE}|\s(?:{_DOT})\s|\b(?:{_WORDS})(?:[\s,.-]+(?:{_WORDS})){{2}})"
+# White space as Python's \s has it, and what may stand between digits.
+_SPACE, _BETWEEN = r"[\s\v\x{1C}-\x{1F}\x{85}\p{Z}]", r"[\s\v\x{1C}-\x{1F}\x{85}\p{Z},.()-]"
+#: Signs of disguise, for Arrow: a necessary condition of each transducer.
+_SIGNS = (
+    rf"{_LOOK}|(?i:{_OPEN}{_SPACE}*(?:{_AT}|@|{_DOT}|\.){_SPACE}*{_CLOSE}|{_SPACE}(?:{_DOT}){_SPACE}"
+    rf"|{_SPACE}(?:{_AT}){_SPACE}+[A-Z0-9-]+\.[A-Z0-9]|(?:{_WORDS}){_BETWEEN}+(?:{_WORDS}|\pN)|\pN{_BETWEEN}+(?:{_WORDS}))"
+)
 
 
 def _look_alikes() -> dict[int, str]:
@@ -103,10 +108,13 @@ _TABLE = _look_alikes()
 _ALIKE = re.compile("[" + "".join(map(chr, sorted(_TABLE))) + "]")
 _BRACKETED = re.compile(rf"\s*{_OPEN}\s*(?:(?P<at>{_AT}|@)|{_DOT}|\.)\s*{_CLOSE}\s*", re.IGNORECASE)
 _NAME = r"[A-Za-z0-9_%+-]{1,64}"
-_WORDY = re.compile(rf"(?<![A-Za-z0-9_%+-]){_NAME}(?:(?:\.|\s+(?:{_DOT})\s+){_NAME}){{0,8}}(?:\s+(?P<at>{_AT})\s+|@)[A-Za-z0-9-]{{1,63}}(?:(?:\.|\s+(?:{_DOT})\s+)[A-Za-z0-9-]{{1,63}}){{0,8}}\s+(?:{_DOT})\s+[A-Za-z]{{2,24}}\b", re.IGNORECASE)
+_LINK = rf"(?:\.|\s+(?:{_DOT})\s+)"
+_WORDY = re.compile(rf"(?<![A-Za-z0-9_%+-]){_NAME}(?:{_LINK}{_NAME}){{0,8}}(?:\s+(?P<at>{_AT})\s+|@)[A-Za-z0-9-]{{1,63}}(?:{_LINK}[A-Za-z0-9-]{{1,63}}){{0,8}}{_LINK}[A-Za-z]{{2,24}}\b", re.IGNORECASE)
 _INSIDE = re.compile(rf"\s+(?:(?P<at>{_AT})|{_DOT})\s+", re.IGNORECASE)
-_NUMBER = re.compile(rf"(?:\bplus[\s,.-]+)?\b(?:{_WORDS}|[0-9])(?:[\s,.-]+(?:{_WORDS}|[0-9])){{6,}}\b", re.IGNORECASE)
-_DIGIT = re.compile(rf"(?P<plus>plus)|(?P<word>{_WORDS})|[0-9]", re.IGNORECASE)
+_OCTET = rf"(?:[0-9]{{1,3}}|(?:{_WORDS}|[0-9])(?:[\s,-]+(?:{_WORDS}|[0-9])){{0,2}})"
+_DOTTED = re.compile(rf"(?<![\w.]){_OCTET}(?:{_LINK}{_OCTET}){{3}}\b", re.IGNORECASE)
+_NUMBER = re.compile(rf"(?:\bplus[\s,.()-]+)?\b(?:{_WORDS}|[0-9]++)(?:[\s,.()-]+(?:{_WORDS}|[0-9]++))+\b", re.IGNORECASE)
+_DIGIT = re.compile(rf"(?P<plus>plus)|(?P<dot>{_LINK})|(?P<word>{_WORDS})|[0-9]", re.IGNORECASE)
 
 Edit = tuple[int, int, str]
 
@@ -142,28 +150,41 @@ def bracketed(text: str) -> list[Edit]:
 
 
 def wordy(text: str) -> list[Edit]:
-    """name at host dot domain, where all of it is there."""
-    if not re.search(_DOT, text, re.IGNORECASE):
+    """name at host dot domain, where all of it is there; any of its signs may be plain."""
+    if not _INSIDE.search(text):
         return []
     return [(m.start() + i.start(), m.start() + i.end(), "@" if i["at"] else ".") for m in _WORDY.finditer(text) for i in _INSIDE.finditer(m[0])]
 
 
+def _digits(m: re.Match, found: list[re.Match]) -> list[Edit]:
+    """Each sign of a match becomes its character, what is between them goes."""
+    out = []
+    for d, follows in zip(found, [*found[1:], None], strict=True):
+        a, b = m.start() + d.start(), m.start() + d.end()
+        out.append((a, b, "+" if d["plus"] else "." if d["dot"] else _SPELLED[d["word"].lower()] if d["word"] else d[0]))
+        if follows is not None and follows.start() > d.end():
+            out.append((b, m.start() + follows.start(), ""))
+    return out
+
+
+def dotted(text: str) -> list[Edit]:
+    """Four numbers with dots between them, of which some dots are words."""
+    if not _INSIDE.search(text):
+        return []
+    return [e for m in _DOTTED.finditer(text) if _INSIDE.search(m[0]) for e in _digits(m, list(_DIGIT.finditer(m[0])))]
+
+
 def spelled(text: str) -> list[Edit]:
-    """Seven or more digits of which some are words: each becomes a digit, what is between them goes."""
+    """Seven or more digits, alone or in groups, of which some are words."""
     out = []
     for m in _NUMBER.finditer(text):
-        found = list(_DIGIT.finditer(m[0]))
-        if not any(d["word"] for d in found):
-            continue
-        for d, follows in zip(found, [*found[1:], None], strict=True):
-            a, b = m.start() + d.start(), m.start() + d.end()
-            out.append((a, b, "+" if d["plus"] else _SPELLED[d["word"].lower()] if d["word"] else d[0]))
-            if follows is not None:
-                out.append((b, m.start() + follows.start(), ""))
+        found = [d for d in _DIGIT.finditer(m[0]) if not d["dot"]]
+        if any(d["word"] for d in found) and sum(not d["plus"] for d in found) >= 7:
+            out += _digits(m, found)
     return out
 
 
-TRANSDUCERS: tuple[Callable[[str], list[Edit]], ...] = (look_alikes, bracketed, wordy, spelled)
+TRANSDUCERS: tuple[Callable[[str], list[Edit]], ...] = (look_alikes, bracketed, wordy, dotted, spelled)
 
 
 def find_disguised(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

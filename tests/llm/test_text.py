@@ -113,6 +113,25 @@ def test_disguises(spark, text, kind, span):
     assert [(pii.KINDS[s["kind"]], ("🙂 " + text)[s["start"] : s["end"]]) for s in added] == [(kind, span)]
 
 
+@pytest.mark.parametrize(
+    "text, kind, span",
+    [
+        ("call plus four 9 one 7 two 3 four 5 six 7 now", "phone", "plus four 9 one 7 two 3 four 5 six 7"),
+        ("or plus one eight zero zero 555 0199 now", "phone", "plus one eight zero zero 555 0199"),
+        ("or +1 415 five five five 0199 now", "phone", "+1 415 five five five 0199"),
+        ("or +1\u00a0(415)\u00a0555\u00a0019\u00a0nine now", "phone", "+1\u00a0(415)\u00a0555\u00a0019\u00a0nine"),
+        ("to jane at example.com today", "email", "jane at example.com"),
+        ("to jane dot doe@example.com today", "email", "jane dot doe@example.com"),
+        ("host 192 dot 168 dot 0 dot 1 is up", "ip", "192 dot 168 dot 0 dot 1"),
+        ("host one nine two dot 168 dot zero.1 is up", "ip", "one nine two dot 168 dot zero.1"),
+    ],
+)
+def test_disguises_through_the_gate(spark, text, kind, span):
+    report = pii.personal_data_report(documents(spark, [(1, text)])).first()
+    assert f"{kind}:{text.index(span)}:{text.index(span) + len(span)}" in report["spans"].split(",")
+    assert report["n_added"] == 1
+
+
 def test_ordinary_text_stays_alone():
     for text in ("see the point at home. dot it", "one two three", "Привет мир", "at the dot com boom he looked"):
         assert pii.find_disguised(text, []) == []
