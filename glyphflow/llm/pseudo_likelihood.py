@@ -3,7 +3,8 @@
 Words fall into buckets by hash; counts over the whole corpus give the frequent
 buckets a token of their own, the rest share.  The network is trained where the
 tokens lie: in each round every partition takes Adam steps on its documents,
-every STRIDE-th position of each, and the parameters are averaged by the number
+every STRIDE-th position of each, so that the rounds together take each position
+once, and the parameters are averaged by the number
 of examples.  Scoring predicts every token from both sides and sums the
 logarithms.  Texts are read once and are never shuffled.
 """
@@ -25,8 +26,8 @@ from .window_network import PAD, SIZE, TOKENS, Trainer, log_probabilities, start
 BUCKETS = 4096
 #: Tokens that the buckets without one of their own share.
 SHARED = 64
-#: A round trains on every STRIDE-th position of every document, each round on others.
-STRIDE, ROUNDS = 8, 2
+#: A round trains on every STRIDE-th position of every document, each round on others; ROUNDS rounds cover all.
+STRIDE = ROUNDS = 2
 #: Parameters in a row of what partitions send.
 BLOCK = 2048
 #: Words handled at once.
@@ -65,6 +66,11 @@ def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Record
         yield from slices(batch, column, 2 * PART)
 
 
+def in_round(inside: np.ndarray, number: int) -> np.ndarray:
+    """Which positions of a document the round ``number`` trains on."""
+    return (inside + number * STRIDE // ROUNDS) % STRIDE == 0
+
+
 def train(tokens: DataFrame, token_of: np.ndarray, counts: np.ndarray) -> np.ndarray:
     flat = start(np.bincount(token_of, counts, TOKENS))
     for number in range(ROUNDS):
@@ -76,7 +82,7 @@ def train(tokens: DataFrame, token_of: np.ndarray, counts: np.ndarray) -> np.nda
             for part in _parts(batches, 0):
                 padded, places, sizes = _padded(part.column(0).to_pylist(), token_of)
                 inside = np.arange(len(places)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                trainer.train(padded, places[(inside + number * STRIDE // ROUNDS) % STRIDE == 0])
+                trainer.train(padded, places[in_round(inside, number)])
             if trainer.seen:
                 rows = np.array_split(trainer.flat, -(-SIZE // BLOCK))
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([trainer.seen] * len(rows), pa.int64()), pa.array(rows, pa.list_(pa.float32()))], ["block", "n", "values"])

@@ -221,6 +221,11 @@ def test_training_learns_from_both_sides():
     assert after > before + 0.3
 
 
+def test_rounds_train_on_every_position_once():
+    inside = np.arange(100)
+    assert (sum(pseudo_likelihood.in_round(inside, k).astype(int) for k in range(pseudo_likelihood.ROUNDS)) == 1).all()
+
+
 def test_scores(spark, odd, nothing):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     found = {r["doc_id"]: r for r in pseudo_likelihood.pseudo_likelihood(docs).collect()}
