@@ -194,6 +194,35 @@ def test_quality_edges(spark, odd, nothing):
 # ---- pseudo-likelihood ---------------------------------------------------------------------------------------
 
 
+def test_every_language_has_a_model(spark):
+    langs = {n * 40 + k: f"l{n:02}" for n in range(18) for k in range(40)}
+    docs = documents(spark, [(i, f"{chr(97 + int(g[1:]))}{i % 7} words of {g} " * 3) for i, g in langs.items()], langs)
+    labels = spark.createDataFrame([(i, 1) for i in langs], "doc_id long, quality int")
+    model, _, _ = quality.fit(docs, labels)
+    assert set(model.tables) == {quality.ALL, *langs.values()}
+    assert set(langs.values()) <= set(model.thresholds)
+
+
+def test_a_worker_holds_few_tables(monkeypatch):
+    class Table:
+        loads = 0
+
+        @property
+        def value(self):
+            if not hasattr(self, "_value"):
+                self.loads += 1
+                self._value = (np.array([97], np.uint32), np.zeros(K.SYMBOLS**K.ORDER, np.uint8), 1.0)
+            return self._value
+
+    monkeypatch.setattr(quality, "HELD", 2)
+    tables = {g: Table() for g in "abc"}
+    scorer = quality.Scorer(tables)
+    for g in "abcabc":
+        scorer.scores(["a"], [g])
+        assert sum("_value" in vars(t) for t in tables.values()) <= 2
+    assert all(t.loads == 2 for t in tables.values())
+
+
 def test_log_probabilities_by_hand():
     rng = np.random.default_rng(0)
     flat = rng.standard_normal(window_network.SIZE).astype(np.float32) * 0.3
