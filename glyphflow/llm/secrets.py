@@ -52,6 +52,10 @@ ADDED = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE + ADDED
+#: A key's banner with its headers and its body up to the END line, or to the body's end where that is missing.
+_KEY = Rule("pem", ADDED[0].pattern + r"(?:\s*[A-Za-z-]+: [^\r\n]*[\r\n]+){0,8}(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/=\r\n]*)")
+#: What redaction takes away; the report's spans of keys are their banners.
+REDACTED = tuple(_KEY if r.kind == "pem" else r for r in RULES)
 #: Columns in use meanwhile; the table's own are unlikely to have these names.
 K, T, CANDIDATE, MET = "__key", "__text", "__candidate", "__met"
 
@@ -136,7 +140,7 @@ def secrets_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return found.select(key, *counts, F.sha2(spans_text(base, RULES), 256).alias("base_sha256"), spans_text(F.col("spans"), RULES).alias("spans"), added)
 
 
-def redact_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact_secrets(df: DataFrame, rules: tuple[Rule, ...] = REDACTED, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``df`` with every span of ``text`` replaced by ``mark``, overlapping spans by one; a null text stays null."""
     found = find_secrets(df, rules, key, text)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
