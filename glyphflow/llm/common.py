@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -24,21 +26,91 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, as in tests, a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a session on one machine (as in tests) gets a new
+    folder; any other raises an error, for executors could not see it.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="shared_")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()
     return at
 
 
+def _store(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written as Parquet into the shared folder and read back: lineage ends there."""
+    """The rows of ``df``, written as Parquet into the shared folder and read back: lineage ends there.
+
+    The table is deleted when the application ends, or by ``drop``.
+    """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/table_{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    store, path = _store(spark, at)
+    store.deleteOnExit(path)
+    made = spark.read.schema(df.schema).parquet(at)
+    made._table_at = at
+    return made
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table that ``materialise`` made and that no plan still to be run reads."""
+    store, path = _store(df.sparkSession, df._table_at)
+    store.delete(path, True)
+    store.cancelDeleteOnExit(path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores in front until no column of ``df`` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: A key with more rows than these, and than 2 / SPREAD of all, is joined by broadcast; so at most SPREAD keys are.
+HOT, SPREAD = 200, 10_000
+
+
+def meet(left: DataFrame, right: DataFrame, on: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has each key once and in ``weight`` the key's number of rows in ``left``.
+
+    ``total`` is at least half of what the weights add up to.  Hot keys come to
+    where the rows of ``left`` lie, and are SPREAD at most; the others meet by
+    shuffle, where no key has more than a task's share.
+    """
+    from pyspark.sql import functions as F
+
+    limit = max(HOT, 2 * total // SPREAD)
+    hot = F.broadcast(right.where(F.col(weight) > limit).drop(weight))
+    cold = right.where(F.col(weight) <= limit).drop(weight)
+    known = hot.select(on)
+    return left.join(hot, on).unionByName(left.join(known, on, "left_anti").join(cold, on, how))
+
+
+def kept(name: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gives; a Python worker keeps one such thing between its tasks, until another name is asked for.
+
+    Functions come to workers by value, so a module of the worker's own holds it.
+    """
+    held = sys.modules.setdefault("_held_by_this_worker", types.ModuleType("_held_by_this_worker"))
+    if getattr(held, "name", None) != name:
+        held.name = held.thing = None
+        held.thing = make()
+        held.name = name
+    return held.thing
 
 
 def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -106,6 +178,25 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows that cut no run of rows that agree in the first ``keys`` columns."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        columns = [table.column(k).to_numpy() for k in range(keys)]
+        last = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0))
+        if len(last):
+            at = int(last[-1]) + 1
+            yield table.slice(0, at)
+            held, n = table.slice(at).to_batches(), n - at
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[int, ...], pa.RecordBatch]]:
     """Slices of batches whose rows agree in the first ``keys`` columns, with those values; a long run comes in several slices."""
     for batch in batches:

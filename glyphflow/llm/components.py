@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import drop, materialise, meet
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -13,10 +13,11 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris and others, 2014):
     every step points nodes at the smallest neighbour, and the edges become
-    stars.  Minima are aggregated before the shuffle, so a node with very many
-    links costs no task more than its share; each round is written to shared
-    storage, and the driver sees a count and a checksum only.  Links with a
-    null end and links of a node with itself count for nothing.
+    stars.  Minima are aggregated before the shuffle; a node with more links
+    than a task's share gets its minimum by broadcast (see ``meet``), so its
+    links stay where they are.  Each round is written to shared storage, the
+    round before it is deleted, and the driver sees a count and a checksum only.
+    Links with a null end and links of a node with itself count for nothing.
     """
     a, b = links.columns
     now = materialise(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
@@ -24,15 +25,22 @@ def connected_components(links: DataFrame) -> DataFrame:
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    def least(df: DataFrame) -> DataFrame:
+        return df.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("links"))
+
     seen = mark(now)
     while seen[0]:
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        before, seen = seen, mark(now)
+        nearest = least(both).select("u", F.least("u", "m").alias("m"), "links")
+        large = meet(both.where("v > u"), nearest, "u", "links", seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialise(large)
+        nearest = least(large)
+        small = meet(large, nearest, "u", "links", seen[0]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before, last = seen, now
+        now = materialise(small.union(nearest.select("u", F.col("m").alias("v"))).distinct())
+        seen = mark(now)
+        drop(last)
+        drop(large)
         if before == seen:
             break
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -101,20 +101,29 @@ def digest(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Jaccard estimates of sketch pairs, less the matches that unequal values give by chance.
+def shares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sketch pairs: the share of equal registers among those that either uses, and the number of these."""
+    held = ((a != EMPTY) | (b != EMPTY)).sum(axis=1)
+    equal = ((a == b) & (a != EMPTY)).sum(axis=1)
+    return equal / np.maximum(held, 1), held
+
+
+def corrected(share: np.ndarray, na: np.ndarray, nb: np.ndarray, m: int) -> np.ndarray:
+    """Jaccard estimates from shares of equal registers, less the matches that unequal values give by chance.
 
     The smallest of a register's values is about exponential with the load
     REPEATS * n / m; a cell [lo, hi) of values shares lead and mantissa, and two
     independent registers meet there with the product of their densities times
     the cell's width, summed over all leads.
     """
-    m = a.shape[1]
-    held = (a != EMPTY) | (b != EMPTY)
-    share = ((a == b) & held).sum(axis=1) / np.maximum(held.sum(axis=1), 1)
     la, lb = REPEATS * na / m, REPEATS * nb / m
-    chance = np.zeros(len(a))
+    chance = np.zeros(len(share))
     for zeros in range(32):
         lo, hi = 2.0 ** -(zeros + 1), 2.0**-zeros
         chance += 2.0 ** -(zeros + 1 + MANTISSA) * la * lb / (la + lb) * (np.exp(-(la + lb) * lo) - np.exp(-(la + lb) * hi))
     return (share - chance) / (1 - chance)
+
+
+def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Jaccard estimates of sketch pairs."""
+    return corrected(shares(a, b)[0], na, nb, a.shape[1])

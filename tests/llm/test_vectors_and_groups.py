@@ -1,6 +1,7 @@
 """Neighbours, near-duplicates of vectors and of documents, components, and the pipeline."""
 
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -108,8 +109,10 @@ def test_keys_with_rejected_members_join_all_alike():
     sets = [base[0], base[1], base[2], np.unique(np.append(base[1][2:], np.uint64(7))), np.unique(np.append(base[2][2:], np.uint64(9)))]
     n = np.array([len(x) for x in sets])
     regs = registers(np.concatenate(sets), n, 205)
-    assert list(near_duplicates._coarse_links(np.arange(5), np.zeros(5, int), n, regs)) == [(1, 3), (2, 4)]
-    assert list(near_duplicates._coarse_links(np.arange(5), np.array([0, 0, 0, 1, 1]), n, regs)) == [(1, 3), (2, 4)]
+    one = np.zeros((1, 5), int)
+    assert sorted(near_duplicates.coarse_links(one, np.arange(5), np.full(5, -1), n, regs, 0.8)) == [(1, 3), (2, 4)]
+    assert sorted(near_duplicates.coarse_links(one, np.arange(5), np.array([0, 0, 0, 1, 1]), n, regs, 0.8)) == [(1, 3), (2, 4)]
+    assert near_duplicates.coarse_links(np.array([[0, 0, 0, 1, 1]]), np.arange(5), np.full(5, -1), n, regs, 0.8) == []
 
 
 def test_near_duplicates_edges(spark, odd, nothing):
@@ -117,8 +120,23 @@ def test_near_duplicates_edges(spark, odd, nothing):
     assert near_duplicates.near_duplicates(nothing).count() == 0
     kept = near_duplicates.keep_one(odd)
     assert kept.columns == odd.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and None in ids
+    rows = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    for row, n in rows.items():
+        assert n == (1 if shingles(row[1], 5) and row[0] is not None else sum((r["doc_id"], r["text"]) == row for r in odd.collect()))
+    assert any(k is None for k, _ in rows)
+
+
+def test_keep_one_judges_rows(spark):
+    """Rows that repeat a key with other texts are judged each by their own; of equal rows one stays."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (5, b + " x"), (6, c), (6, c), (7, ""), (7, ""), (None, a), (None, a)]
+    for given in (rows, rows[::-1]):
+        kept = Counter((r["doc_id"], r["text"]) for r in near_duplicates.keep_one(documents(spark, given)).collect())
+        b_rows = {k: n for k, n in kept.items() if k[0] == 5}
+        assert sum(b_rows.values()) == 1 and next(iter(b_rows))[1].startswith(b)
+        assert {k: n for k, n in kept.items() if k[0] != 5} == {(1, a): 1, (6, c): 1, (7, ""): 2, (None, a): 2}
+    found = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates.near_duplicates(documents(spark, rows)).collect())
+    assert found == Counter({(1, 1, True): 1, (5, 1, False): 1, (5, 5, True): 2, (6, 6, True): 2, (7, 7, True): 2, (None, None, True): 2})
 
 
 def test_sketches():
