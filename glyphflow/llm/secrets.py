@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .trigrams import trigram_query
 
 
@@ -56,8 +57,16 @@ RULES = BASE + ADDED
 _KEY = Rule("pem", ADDED[0].pattern + r"(?:\s*[A-Za-z-]+: [^\r\n]*[\r\n]+){0,8}(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/=\r\n]*)")
 #: What redaction takes away; the report's spans of keys are their banners.
 REDACTED = tuple(_KEY if r.kind == "pem" else r for r in RULES)
-#: Columns in use meanwhile; the table's own are unlikely to have these names.
-K, T, CANDIDATE, MET = "__key", "__text", "__candidate", "__met"
+#: Column names in tables of this module's own: a row's number (see ``find_secrets``) and its text.
+K, T = "row", "text"
+#: Matches, and characters, that are worked through in one go: cost grows with their number times this.
+RUN, CHUNK = 256, 1 << 16
+SPANS = "array<struct<start:int,rule:int,end:int>>"
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def postings(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -67,7 +76,7 @@ def postings(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         return rows.select(K, F.lit("").alias("gram")).limit(0)
     asked = F.array(*map(F.lit, grams))
     # The lower-case text is bound by the outer function; written out, it would be made anew for every trigram.
-    held = F.transform(F.array(F.lower(T)), lambda low: F.filter(asked, lambda g: F.contains(low, g)))[0]
+    held = _let(F.lower(T), lambda low: F.filter(asked, lambda g: F.contains(low, g)))
     return rows.select(K, F.explode(held).alias("gram"))
 
 
@@ -80,46 +89,66 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return met.where("bits = whole").groupBy(K).agg(F.collect_set("rule").alias("rules"))
 
 
-def _spans(rule: Rule, number: int) -> Column:
-    """array<struct<start, rule, end>> of a rule's matches in column T: the lengths of matches and of what is between them give the places."""
+def _spans(text: str, rule: Rule, number: int) -> Column:
+    """SPANS of a rule's matches: the lengths of matches and of what is between them give the places."""
     pattern = F.lit(rule.pattern)
-    whole, part = F.regexp_extract_all(T, pattern, F.lit(0)), F.regexp_extract_all(T, pattern, F.lit(rule.group))
+    whole, part = F.regexp_extract_all(text, pattern, F.lit(0)), F.regexp_extract_all(text, pattern, F.lit(rule.group))
     sizes = F.arrays_zip(
-        F.transform(F.split(T, rule.pattern, -1), F.length).alias("gap"),
+        F.transform(F.split(text, rule.pattern, -1), F.length).alias("gap"),
         F.transform(whole, F.length).alias("size"),
         F.transform(part, F.length).alias("held"),
     )
-    empty = F.array().cast("array<struct<start:int,rule:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    # Names come back by zipping the fields once more.
+    sizes = F.transform(sizes, lambda x: F.struct(x["gap"].alias("gap"), F.coalesce(x["size"], F.lit(0)).alias("size"), F.coalesce(x["held"], F.lit(-1)).alias("held")))
+    empty = F.array().cast(SPANS)
 
     def step(so_far: Column, x: Column) -> Column:
         begin = so_far["at"] + x["gap"]
-        end = begin + F.coalesce(x["size"], F.lit(0))
+        end = begin + x["size"]
         mine = F.array(F.struct(begin.alias("start"), F.lit(number).alias("rule"), end.alias("end")))
-        keep = x["size"].isNotNull() & (x["held"] >= rule.least)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(so_far["out"], mine)).otherwise(so_far["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(x["held"] >= rule.least, F.concat(so_far["out"], mine)).otherwise(so_far["out"]).alias("out"))
+
+    def places(runs: Column) -> Column:
+        totals = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda t, x: t + x["gap"] + x["size"]))
+
+        def within(total: Column) -> Column:
+            def run(r: Column, i: Column) -> Column:
+                before = F.aggregate(F.slice(total, F.lit(1), i), F.lit(0), lambda t, x: t + x)
+                return F.aggregate(r, F.struct(before.alias("at"), empty.alias("out")), step, lambda x: x["out"])
+
+            return F.flatten(F.transform(runs, run))
+
+        return _let(totals, within)
 
-    found = F.aggregate(F.arrays_zip(sizes["gap"].alias("gap"), sizes["size"].alias("size"), sizes["held"].alias("held")), start, step, lambda x: x["out"])
-    return F.when(F.col(T).rlike(rule.pattern), found).otherwise(empty)
+    def cut(found: Column) -> Column:
+        last = F.floor((F.size(found) - 1) / RUN).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(found, i * RUN + 1, F.lit(RUN)))
 
+    found = _let(sizes, lambda found: _let(cut(found), places))
+    return F.when(F.col(text).rlike(rule.pattern), found).otherwise(empty)
 
-def find_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with spans, array<struct<start, rule, end>> in code points, end exclusive, sorted; rule is a number in ``rules``.
 
-    A null or empty text has no spans.  Whole texts are searched.  Rows with
-    equal or null keys keep their own texts and results.  A column of the same
-    name is replaced.
+def find_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", out: str = "spans") -> DataFrame:
+    """``df`` with ``out``, array<struct<start, rule, end>> in code points, end exclusive, sorted; rule is a number in ``rules``.
+
+    A null or empty text has no spans.  Whole texts are searched.  Rows meet
+    their candidates by a hash of key and text, so rows with equal or null keys
+    are spread, and keep their own texts and results.  A column ``out`` of
+    ``df`` is replaced; others may have any names.
     """
-    docs = df.drop("spans").withColumns({K: F.col(key), T: F.coalesce(F.col(text), F.lit(""))})
-    found = candidates(postings(docs.select(K, T), rules), rules).select(F.col(K).alias(CANDIDATE), F.col("rules").alias(MET))
+    df = df.drop(out)
+    row, whole, candidate, met = fresh(df, "row", "whole", "candidate", "met")
+    docs = df.withColumn(whole, F.coalesce(F.col(text), F.lit(""))).withColumn(row, F.xxhash64(key, whole))
+    index = postings(docs.select(F.col(row).alias(K), F.col(whole).alias(T)), rules)
+    found = candidates(index, rules).select(F.col(K).alias(candidate), F.col("rules").alias(met))
     # The candidates are the build side; texts stream past it unsorted.
-    met = docs.join(found.hint("shuffle_hash"), F.col(K).eqNullSafe(F.col(CANDIDATE)), "left")
-    empty = F.array().cast("array<struct<start:int,rule:int,end:int>>")
+    joined = docs.join(found.hint("shuffle_hash"), F.col(row) == F.col(candidate), "left")
+    empty = F.array().cast(SPANS)
     per_rule = [
-        _spans(rule, number) if rule.query is None else F.when(F.array_contains(MET, number), _spans(rule, number)).otherwise(empty)
+        _spans(whole, rule, number) if rule.query is None else F.when(F.array_contains(met, number), _spans(whole, rule, number)).otherwise(empty)
         for number, rule in enumerate(rules)
     ]
-    return met.withColumn("spans", F.array_sort(F.concat(*per_rule))).drop(K, T, CANDIDATE, MET)
+    return joined.withColumn(out, F.array_sort(F.concat(*per_rule))).drop(row, whole, candidate, met)
 
 
 def spans_text(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -141,16 +170,27 @@ def secrets_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def redact_secrets(df: DataFrame, rules: tuple[Rule, ...] = REDACTED, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``df`` with every span of ``text`` replaced by ``mark``, overlapping spans by one; a null text stays null."""
-    found = find_secrets(df, rules, key, text)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """``df`` with every span of ``text`` replaced by ``mark``, overlapping spans by one; a null text stays null.
+
+    All other columns stay as they are, whatever their names.  The text is
+    worked through in chunks, so a long one costs its length, not its square.
+    """
+    (spans,) = fresh(df, "spans")
+    found = find_secrets(df, rules, key, text, spans)
+
+    def clean(chunk: Column, number: Column) -> Column:
+        base = number * CHUNK
+
+        def step(so_far: Column, s: Column) -> Column:
+            shown = F.concat(so_far["out"], F.substring(chunk, so_far["at"] - base + 1, s["start"] - so_far["at"]), F.lit(mark))
+            return F.struct(F.greatest(so_far["at"], s["end"]).alias("at"), F.when(s["start"] >= so_far["at"], shown).otherwise(so_far["out"]).alias("out"))
 
-    def step(so_far: Column, s: Column) -> Column:
-        shown = F.when(s["start"] >= so_far["at"], F.concat(so_far["out"], F.substring(F.col(text), so_far["at"] + 1, s["start"] - so_far["at"]), F.lit(mark))).otherwise(so_far["out"])
-        return F.struct(F.greatest(so_far["at"], s["end"]).alias("at"), shown.alias("out"))
+        own = F.filter(spans, lambda s: (s["start"] < base + F.length(chunk)) & (s["end"] > base))
+        return F.aggregate(own, F.struct(base.alias("at"), F.lit("").alias("out")), step, lambda x: F.concat(x["out"], F.substring(chunk, x["at"] - base + 1, F.lit(CHUNK))))
 
-    cleaned = F.aggregate("spans", start, step, lambda x: F.concat(x["out"], F.substring(F.col(text), x["at"] + 1, F.length(text))))
-    return found.withColumn(text, F.when(F.size("spans") > 0, cleaned).otherwise(F.col(text))).select(*df.columns)
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    cleaned = F.array_join(F.transform(chunks, clean), "")
+    return found.withColumn(text, F.when(F.size(spans) > 0, cleaned).otherwise(F.col(text))).select(*df.columns)
 
 
 def report_sql(table: str = "documents") -> str:
