@@ -11,14 +11,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -27,7 +29,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
-_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 
 #: Texts that can hold a kind at all; these run in Arrow.
 _MAY = {"email": r"@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){11}", "phone": r"\+[0-9]"}
@@ -106,14 +108,15 @@ def _look_alikes() -> dict[int, str]:
 
 _TABLE = _look_alikes()
 _ALIKE = re.compile("[" + "".join(map(chr, sorted(_TABLE))) + "]")
-_BRACKETED = re.compile(rf"\s*{_OPEN}\s*(?:(?P<at>{_AT}|@)|{_DOT}|\.)\s*{_CLOSE}\s*", re.IGNORECASE)
+# Runs of white space are entered at their start only and never given back, so a long one costs its length.
+_BRACKETED = re.compile(rf"{_OPEN}\s*+(?:(?P<at>{_AT}|@)|{_DOT}|\.)\s*+{_CLOSE}\s*+", re.IGNORECASE)
 _NAME = r"[A-Za-z0-9_%+-]{1,64}"
-_LINK = rf"(?:\.|\s+(?:{_DOT})\s+)"
-_WORDY = re.compile(rf"(?<![A-Za-z0-9_%+-]){_NAME}(?:{_LINK}{_NAME}){{0,8}}(?:\s+(?P<at>{_AT})\s+|@)[A-Za-z0-9-]{{1,63}}(?:{_LINK}[A-Za-z0-9-]{{1,63}}){{0,8}}{_LINK}[A-Za-z]{{2,24}}\b", re.IGNORECASE)
-_INSIDE = re.compile(rf"\s+(?:(?P<at>{_AT})|{_DOT})\s+", re.IGNORECASE)
-_OCTET = rf"(?:[0-9]{{1,3}}|(?:{_WORDS}|[0-9])(?:[\s,-]+(?:{_WORDS}|[0-9])){{0,2}})"
+_LINK = rf"(?:\.|\s++(?:{_DOT})\s++)"
+_WORDY = re.compile(rf"(?<![A-Za-z0-9_%+-]){_NAME}(?:{_LINK}{_NAME}){{0,8}}(?:\s++(?P<at>{_AT})\s++|@)[A-Za-z0-9-]{{1,63}}(?:{_LINK}[A-Za-z0-9-]{{1,63}}){{0,8}}{_LINK}[A-Za-z]{{2,24}}\b", re.IGNORECASE)
+_INSIDE = re.compile(rf"(?<!\s)\s++(?:(?P<at>{_AT})|{_DOT})\s++", re.IGNORECASE)
+_OCTET = rf"(?:[0-9]{{1,3}}|(?:{_WORDS}|[0-9])(?:[\s,-]++(?:{_WORDS}|[0-9])){{0,2}})"
 _DOTTED = re.compile(rf"(?<![\w.]){_OCTET}(?:{_LINK}{_OCTET}){{3}}\b", re.IGNORECASE)
-_NUMBER = re.compile(rf"(?:\bplus[\s,.()-]+)?\b(?:{_WORDS}|[0-9]++)(?:[\s,.()-]+(?:{_WORDS}|[0-9]++))+\b", re.IGNORECASE)
+_NUMBER = re.compile(rf"(?:\bplus[\s,.()-]++)?\b(?:{_WORDS}|[0-9]++)(?:[\s,.()-]++(?:{_WORDS}|[0-9]++))+\b", re.IGNORECASE)
 _DIGIT = re.compile(rf"(?P<plus>plus)|(?P<dot>{_LINK})|(?P<word>{_WORDS})|[0-9]", re.IGNORECASE)
 
 Edit = tuple[int, int, str]
@@ -123,22 +126,25 @@ class Source:
     """A rewritten text that knows for each of its characters where in the source it begins and ends."""
 
     def __init__(self, text: str):
-        self.text, self.starts, self.ends = text, range(len(text)), range(1, len(text) + 1)
+        self.text = text
+        self.starts = np.arange(len(text), dtype=np.int32)
+        self.ends = self.starts + 1
 
     def rewrite(self, edits: list[Edit]) -> None:
         """Put (start, end, replacement) in place; edits are in order and do not overlap."""
         if not edits:
             return
-        text, starts, ends, at = [], [], [], 0
-        for a, b, new in [*edits, (len(self.text), len(self.text), "")]:
+        text, at = [], 0
+        # Each character's copies: 0 for those that an edit takes away, the replacement's length for an edit's first.
+        copies = np.ones(len(self.text), np.int32)
+        ends = self.ends.copy()
+        for a, b, new in edits:
             text += [self.text[at:a], new]
-            starts += self.starts[at:a]
-            ends += self.ends[at:a]
-            if new:
-                starts += [self.starts[a]] * len(new)
-                ends += [self.ends[b - 1]] * len(new)
+            copies[a:b] = 0
+            copies[a], ends[a] = len(new), self.ends[b - 1]
             at = b
-        self.text, self.starts, self.ends = "".join(text), starts, ends
+        self.text = "".join([*text, self.text[at:]])
+        self.starts, self.ends = np.repeat(self.starts, copies), np.repeat(ends, copies)
 
 
 def look_alikes(text: str) -> list[Edit]:
@@ -146,7 +152,14 @@ def look_alikes(text: str) -> list[Edit]:
 
 
 def bracketed(text: str) -> list[Edit]:
-    return [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(text)]
+    """Brackets around at or dot, with the white space on both sides."""
+    out: list[Edit] = []
+    for m in _BRACKETED.finditer(text):
+        a, least = m.start(), out[-1][1] if out else 0
+        while a > least and text[a - 1].isspace():
+            a -= 1
+        out.append((a, m.end(), "@" if m["at"] else "."))
+    return out
 
 
 def wordy(text: str) -> list[Edit]:
@@ -194,9 +207,14 @@ def find_disguised(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[i
         source.rewrite(transducer(source.text))
     if source.text == text:
         return []
-    found = [(source.starts[a], kind, source.ends[b - 1]) for a, kind, b in find_plain(source.text)]
-    taken = [[(a, b) for a, k, b in plain if k == kind] for kind in range(len(KINDS))]
-    return [(a, kind, b) for a, kind, b in found if not any(c <= a and b <= d for c, d in taken[kind])]
+    out = []
+    taken = [[(c, d) for c, k, d in plain if k == kind] for kind in range(len(KINDS))]
+    for a, kind, b in find_plain(source.text):
+        a, b = int(source.starts[a]), int(source.ends[b - 1])
+        at = bisect_right(taken[kind], (a, len(text) + 1)) - 1
+        if at < 0 or taken[kind][at][1] < b:  # plain matches of a kind do not overlap
+            out.append((a, kind, b))
+    return out
 
 
 def find_personal_data(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -210,6 +228,7 @@ def find_personal_data(df: DataFrame, key: str = "doc_id", text: str = "text") -
     rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     kind = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("plain", pa.bool_())])
 
+    @tidy
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
@@ -240,7 +259,10 @@ def spans_text(spans: Column, kinds: tuple[str, ...] = KINDS) -> Column:
 
 
 def personal_data_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: the key, n_email, n_ip, n_card, n_phone (plain ones), base_sha256 of the plain spans, spans (all), n_added."""
+    """Per row: the key, n_email, n_ip, n_card, n_phone (plain ones), base_sha256 of the plain spans, spans (all), n_added, n_spans (all).
+
+    A null or empty text has none; see ``find_personal_data``.
+    """
     found = find_personal_data(df, key, text)
     plain = F.filter("spans", lambda s: s["plain"])
     def count(kind: int) -> Column:
@@ -248,4 +270,4 @@ def personal_data_report(df: DataFrame, key: str = "doc_id", text: str = "text")
 
     counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     added = F.size(F.filter("spans", lambda s: ~s["plain"])).cast("long").alias("n_added")
-    return found.select(key, *counts, F.sha2(spans_text(plain), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"), added)
+    return found.select(key, *counts, F.sha2(spans_text(plain), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"), added, F.size("spans").cast("long").alias("n_spans"))
