@@ -10,8 +10,6 @@ import heapq
 
 import numpy as np
 
-from .common import ragged
-
 NONE = np.int32(2**31 - 1)
 
 
@@ -52,11 +50,17 @@ class PairTable:
     """(left id, right id) -> (rank, merged id), as sorted arrays."""
 
     def __init__(self, left, right, rank, merged):
-        keys = np.asarray(left, np.int64) << 32 | np.asarray(right, np.int64)
+        left, right, rank, merged = (np.asarray(x, np.int64) for x in (left, right, rank, merged))
+        keys = left << 32 | right
         order = np.argsort(keys, kind="stable")
+        # Where every pair with the merged symbol has a higher rank, merging all places of a pair at once is the same as one after the other.
+        least = np.full(max(map(int, (left.max(initial=0), right.max(initial=0), merged.max(initial=0)))) + 1, NONE, np.int64)
+        np.minimum.at(least, left, rank)
+        np.minimum.at(least, right, rank)
+        self.together = np.append((least[merged] > rank)[order], False)
         self.keys = keys[order]
-        self.rank = np.append(np.asarray(rank, np.int32)[order], NONE)
-        self.merged = np.append(np.asarray(merged, np.int32)[order], np.int32(-1))
+        self.rank = np.append(rank.astype(np.int32)[order], NONE)
+        self.merged = np.append(merged.astype(np.int32)[order], np.int32(-1))
 
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Places in ``rank`` and ``merged``; the last place stands for no such pair. Negative ids have no pairs."""
@@ -75,24 +79,34 @@ class PairTable:
         return int(self.rank[at]), int(self.merged[at])
 
 
-def merge_ragged(ids: np.ndarray, lengths: np.ndarray, pairs: PairTable, longest: int = 96) -> tuple[np.ndarray, np.ndarray]:
+def _lower_follows(sym, last, begin, hit, owner, merged, some, low, pairs: PairTable) -> np.ndarray:
+    """Of the places ``some`` of ``hit``: whether merging there, after those to its left, brings a pair of at most the row's lowest rank."""
+    at, own = hit[some], merged[some]
+    risky = np.zeros(len(some), bool)
+    right = np.flatnonzero(~last[at + 1])
+    risky[right] = pairs.rank[pairs.find(own[right], sym[at[right] + 2])] <= low[owner[some[right]]]
+    left = np.flatnonzero(at > begin[owner[some]])
+    beside = sym[at[left] - 1]
+    touches = (some[left] > 0) & (hit[some[left] - 1] == at[left] - 2)
+    beside[touches] = merged[some[left[touches]] - 1]
+    risky[left] |= pairs.rank[pairs.find(beside, own[left])] <= low[owner[some[left]]]
+    return risky
+
+
+def merge_ragged(ids: np.ndarray, lengths: np.ndarray, pairs: PairTable) -> tuple[np.ndarray, np.ndarray]:
     """Merge many sequences at once; returns the surviving ids and each sequence's number of them.
 
-    In every round each sequence applies its own lowest-rank pair (its leftmost
-    one), all sequences at the same time; a sequence without a pair leaves.
-    The rounds are as many as the longest sequence has merges, so sequences of
-    over ``longest`` symbols go through the agenda instead.
+    In every round each sequence applies its own lowest-rank pair, all sequences
+    at the same time, and within a sequence at all places that do not overlap,
+    from the left; where that could differ from one place after the other (see
+    ``PairTable.together``), up to the first place that brings a pair of lower
+    rank.  A sequence without a pair leaves.
     """
     lengths = np.asarray(lengths, np.int64)
     out_rows, out_ids = [], []
-    starts = np.cumsum(lengths) - lengths
-    for r in np.flatnonzero(lengths > longest):
-        merged = agenda(ids[starts[r] : starts[r] + lengths[r]].tolist(), pairs.one)
-        out_ids.append(np.array(merged, np.int32))
-        out_rows.append(np.full(len(merged), r))
-    rows = np.flatnonzero((lengths > 0) & (lengths <= longest))
+    rows = np.flatnonzero(lengths)
     sizes = lengths[rows]
-    sym = ids[ragged(starts[rows], sizes)].astype(np.int32)
+    sym = ids.astype(np.int32)
 
     def ranks(s, last):
         at = np.full(len(s), len(pairs.keys))
@@ -119,12 +133,28 @@ def merge_ragged(ids: np.ndarray, lengths: np.ndarray, pairs: PairTable, longest
                 break
         row = np.repeat(np.arange(len(rows)), sizes)
         hit = np.flatnonzero(rank == low[row])
-        hit = hit[np.append(True, row[hit[1:]] != row[hit[:-1]])]
+        owner = row[hit]
+        # Of places that follow one another every second one is free, counted from the first.
+        begins = np.flatnonzero(np.append(True, hit[1:] != hit[:-1] + 1))
+        free = (np.arange(len(hit)) - np.repeat(begins, np.diff(begins, append=len(hit)))) % 2 == 0
+        hit, owner = hit[free], owner[free]
+        lone = ~pairs.together[at[hit]]
+        if lone.any():
+            single = np.zeros(len(rows), bool)
+            single[owner[lone]] = True
+            some = np.flatnonzero(single[owner])
+            risky = _lower_follows(sym, last, begin, hit, owner, pairs.merged[at[hit]], some, low, pairs)
+            # The first such place of a sequence is its last one in this round.
+            past = np.cumsum(risky) - risky
+            first = np.searchsorted(owner[some], owner[some])
+            stay = np.ones(len(hit), bool)
+            stay[some] = past == past[first]
+            hit, owner = hit[stay], owner[stay]
         sym[hit] = pairs.merged[at[hit]]
         last[hit] = last[hit + 1]
         keep = np.ones(len(sym), bool)
         keep[hit + 1] = False
-        sizes = sizes - 1
+        sizes = sizes - np.bincount(owner, minlength=len(rows))
         now = hit - np.arange(len(hit))  # the places after the right sides are gone
         sym, at, last = sym[keep], at[keep], last[keep]
         at[now] = len(pairs.keys)
@@ -135,6 +165,6 @@ def merge_ragged(ids: np.ndarray, lengths: np.ndarray, pairs: PairTable, longest
         at[left] = pairs.find(sym[left], sym[left + 1])
     if not out_ids:
         return np.zeros(0, np.int32), np.zeros(len(lengths), np.int64)
-    owner = np.concatenate(out_rows)
-    order = np.argsort(owner, kind="stable")
-    return np.concatenate(out_ids)[order], np.bincount(owner, minlength=len(lengths))
+    of = np.concatenate(out_rows)
+    order = np.argsort(of, kind="stable")
+    return np.concatenate(out_ids)[order], np.bincount(of, minlength=len(lengths))

@@ -1,9 +1,9 @@
 """Token counts by rank-synchronous array merging.
 
 A batch's distinct pre-tokens are held as ragged numpy arrays of symbol ids.
-In each round every sequence applies its lowest-rank pair at the same time;
-what survives is counted.  Nothing is shuffled: a document's count depends on
-its own text alone.
+In each round every sequence applies its lowest-rank pair at the same time,
+whatever its length; what survives is counted.  Nothing is shuffled: a
+document's count depends on its own text alone.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import merge_ragged
-from .common import chunks, slices, tidy
+from .common import chunks, kept, slices, tidy
 from .pieces import SPACE, Pieces, irregular, runs
 
 #: Pre-tokens that a worker remembers, and the longest one that it does.
@@ -87,10 +87,9 @@ def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = None
         for batch in batches:
             for part in slices(batch, 1):
-                counter = counter or Counter(path)
+                counter = kept(("counter", path), lambda: Counter(path))
                 lengths = pa.compute.binary_length(part.column(1)).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), lengths, pa.array(counter.documents(part.column(1)))], ["k", "n_bytes", "n_tokens"])
 
