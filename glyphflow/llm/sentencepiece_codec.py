@@ -10,23 +10,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from heapq import heapify, heappop, heappush
 from operator import add
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import agenda
-from .common import chunks, slices, tidy
+from .common import chunks, kept, slices, tidy
 from .pieces import SPACE, Pieces, irregular, runs
 
 #: Pre-tokens that a worker remembers, and the longest one that it does.
 MEMORY, LONG = 500_000, 200
-#: Symbols up to which an agenda is a plain list; a rank that no pair has.
-SHORT, NEVER = 48, 1 << 60
 
 
 class Codec:
@@ -43,25 +41,28 @@ class Codec:
         self.rank = rank.get
         self.spoken = [t.replace(SPACE, " ") for t in self.pieces.text]
 
-    def lookup(self, a: str, b: str) -> tuple[int, str] | None:
-        r = self.rank(a + b)
-        return None if r is None else (r, a + b)
-
     def agenda(self, symbols: list[str]) -> list[str]:
-        """Merge by score. The agenda of a short run is a list of its pairs' ranks, searched for the first lowest; of a long one, a heap."""
-        if len(symbols) > SHORT:
-            return agenda(symbols, self.lookup)
-        rank, never = self.rank, NEVER
-        ranks = [*map(rank, map(add, symbols, symbols[1:]), repeat(never))]
-        while ranks and (low := min(ranks)) != never:
-            i = ranks.index(low)
-            merged = symbols[i] = symbols[i] + symbols.pop(i + 1)
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank(merged + symbols[i + 1], never)
-            if i:
-                ranks[i - 1] = rank(symbols[i - 1] + merged, never)
-        return symbols
+        """Merge by score: a heap of the adjacent pairs, (rank, place, left, right); an entry whose symbols have changed since is passed over."""
+        rank, end = self.rank, len(symbols)
+        heap = [(r, i, a, b) for i, (a, b, r) in enumerate(zip(symbols, symbols[1:], map(rank, map(add, symbols, symbols[1:])))) if r is not None]
+        heapify(heap)
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        while heap:
+            _, i, a, b = heappop(heap)
+            j = after[i]
+            if symbols[i] != a or j == end or symbols[j] != b:
+                continue
+            merged, symbols[j] = a + b, ""
+            symbols[i] = merged
+            k, h = after[j], before[i]
+            after[i] = k
+            if k < end:
+                before[k] = i
+                if (r := rank(merged + symbols[k])) is not None:
+                    heappush(heap, (r, i, merged, symbols[k]))
+            if h >= 0 and (r := rank(symbols[h] + merged)) is not None:
+                heappush(heap, (r, h, symbols[h], merged))
+        return [s for s in symbols if s]
 
     def encode_run(self, run: str) -> list[int]:
         """Ids of a text whose spaces are marks already."""
@@ -149,10 +150,9 @@ def _mapped(df: DataFrame, path: str, key: str, text: str, checked: bool, made:
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
         for batch in batches:
             for part in slices(batch, 1):
-                codec = codec or Codec(path, checked)
+                codec = kept(("codec", path, checked), lambda: Codec(path, checked))
                 before = codec.corrected
                 columns = made(*codec.documents(part.column(1)))
                 fixed = pa.array([codec.corrected - before] + [0] * (part.num_rows - 1), pa.int64())
@@ -190,8 +190,9 @@ def sentencepiece_decode(df: DataFrame, path: str, ids: str = "ids", out: str =
     """``df`` with the decoded text of its array<int> column ``ids`` as ``out``; null ids give null."""
 
     @F.pandas_udf("string")
-    def decode(column):
-        codec = Codec(path, checked=False)
-        return column.map(lambda x: None if x is None else codec.decode(list(x)))
+    def decode(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        codec = kept(("codec", path, False), lambda: Codec(path, False))
+        for column in columns:
+            yield column.map(lambda x: None if x is None else codec.decode(list(x)))
 
     return df.withColumn(out, decode(F.col(ids)))
