@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, tidy
+from .common import kept, materialise, slices, tidy
 from .word_tokenizer import WordTokenizer
 
 #: Pieces of one length that a task ranks, about.
@@ -102,10 +102,9 @@ def document_pieces(df: DataFrame, path: str, capacity: int, key: str, text: str
 
     @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = None
         for batch in batches:
             for part in slices(batch, 1):
-                tokens = tokens or WordTokenizer(path)
+                tokens = kept(("words", path), lambda: WordTokenizer(path))
                 data, ends = tokens.documents(part.column(1))
                 whole, owner, piece, start, length, crc, ids = ends.tolist(), [], [], [], [], [], []
                 for r in range(part.num_rows):

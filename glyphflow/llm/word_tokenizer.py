@@ -1,9 +1,10 @@
 """Token ids by a byte-level BPE file with word ends, as the ``tokenizers`` library gives them.
 
 The file's pre-tokeniser never joins text across white space, so a document's
-ids are those of its chunks between spaces, and a chunk is encoded once.
-Chunks of ASCII and Latin-1 letters take the array merges of ``bpe``; all
-others, and chunks that hold an added token's string, take the library.
+ids are those of its chunks between spaces, and a chunk is encoded once.  If
+the file states the rules that are written out here, chunks of ASCII and Latin-1
+letters take the array merges of ``bpe``; all others, chunks that hold an added
+token's string, and all chunks of files with other rules take the library.
 """
 
 from __future__ import annotations
@@ -19,10 +20,13 @@ from .common import chunks
 
 #: Chunks that a worker remembers, and the longest one that it does.
 MEMORY, LONG = 450_000, 200
-#: Of so many new chunks one is also encoded by the library.
-CHECK_EACH = 200
 #: Text that is in NFC and for which lower() does what the library does, and its pre-tokens.
 PLAIN = re.compile(r"[!-~\n\tÀ-ÖØ-öø-ÿ]*")
+# The rules for which WORD, lower() and PLAIN are right, as a file states them.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
 
@@ -49,7 +53,10 @@ class WordTokenizer:
         end = model["end_of_word_suffix"] or ""
         self.inner = np.array([vocab.get(c, -1) for c in chars], np.int32)
         self.final = np.array([vocab.get(c + end, -1) for c in chars], np.int32)
-        self.plain = bool((self.inner >= 0).all() and (self.final >= 0).all()) and model["type"] == "BPE" and not model["ignore_merges"]
+        rules = spec["normalizer"] == NORMALISER and spec["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]} and not spec["truncation"]
+        rules = rules and {k: model.get(k) for k in MODEL} == MODEL and not any(t["normalized"] or t["single_word"] for t in spec["added_tokens"])
+        #: Whether the file's rules are those that ``by_arrays`` follows; the library takes every chunk of other files.
+        self.plain = bool(rules and (self.inner >= 0).all() and (self.final >= 0).all())
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.pairs = PairTable(*zip(*((vocab[a], vocab[b], r, vocab[a + b]) for r, (a, b) in enumerate(merges)), strict=True))
         self.known: dict[str, bytes] = {}
@@ -91,11 +98,6 @@ class WordTokenizer:
                 if some:
                     for i, ids in zip(some, encode([words[i] for i in some]), strict=True):
                         out[i] = ids
-            tested = plain[::CHECK_EACH]
-            if tested and [out[i] for i in tested] != self.by_library([words[i] for i in tested]):
-                self.plain = False  # this file has other rules: the library alone from now on
-                known.clear()
-                return self.encode_words(words)
             if len(known) > MEMORY:
                 known.clear()
             known.update((words[i], out[i]) for i in miss if len(words[i]) <= LONG)
