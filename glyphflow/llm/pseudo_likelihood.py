@@ -1,12 +1,17 @@
 """Masked pseudo-likelihood scores of documents.
 
-Words fall into buckets by hash; counts over the whole corpus give the frequent
-buckets a token of their own, the rest share.  The network is trained where the
-tokens lie: in each round every partition takes Adam steps on its documents,
-every STRIDE-th position of each, so that the rounds together take each position
-once, and the parameters are averaged by the number
-of examples.  Scoring predicts every token from both sides and sums the
-logarithms.  Texts are read once and are never shuffled.
+The most frequent words of the corpus are tokens of their own, the others share
+SHARED tokens by their endings.  The network predicts every token from both
+sides; a word that shares a token has that token's probability times its own
+part of the token's occurrences, which are counted over the whole corpus.  So the
+vocabulary is that of the corpus, and grows with it.
+
+The network is trained on shards of documents: their number follows from the
+corpus, their rows and the order of these from the rows' own hashes, so the
+model doesn't depend on how the rows lie.  In each round a shard takes Adam steps
+on every STRIDE-th position of its documents, the rounds together on all of them,
+and the parameters are averaged by the number of examples.  Texts are read
+twice; token numbers, the words that share one, and parameters are shuffled.
 """
 
 from __future__ import annotations
@@ -17,83 +22,125 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, tidy
+from .common import materialise, runs, slices, tidy
 from .window_network import PAD, SIZE, TOKENS, Trainer, log_probabilities, start
 
-BUCKETS = 4096
-#: Tokens that the buckets without one of their own share.
+#: Tokens that the words without one of their own share.
 SHARED = 64
 #: A round trains on every STRIDE-th position of every document, each round on others; ROUNDS rounds cover all.
 STRIDE = ROUNDS = 2
-#: Parameters in a row of what partitions send.
-BLOCK = 2048
+#: Tokens of a shard, about, and the most shards; beyond that many shards these become larger.
+SHARD, SHARDS = 2_500_000, 4096
+#: Parameters in a row of what shards send.
+BLOCK = 8192
 #: Words handled at once.
 PART = 400_000
 
 
-def word_buckets(texts: pa.Array) -> list[bytes]:
-    """Each text's words (between ASCII white space, ASCII letters in lower case) as unsigned 16-bit buckets."""
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts (between ASCII white space, ASCII letters in lower case): 64-bit hashes, shared tokens, and where each text's begin and end."""
     cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     offsets = cut.offsets.to_numpy().astype(np.int64)
     coded = cut.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
     offsets = offsets - offsets[0]
-    words = coded.dictionary.to_numpy(zero_copy_only=False).astype(object)
+    words = coded.dictionary
     if not len(words):
-        return [b""] * len(texts)
-    bucket = (pd.util.hash_array(words, categorize=False) % BUCKETS).astype(np.uint16)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(len(texts) + 1, np.int64)
+    hashed = pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False).view(np.int64)
+    ending = pd.util.hash_array(pc.utf8_slice_codeunits(words, -2).to_numpy(zero_copy_only=False).astype(object))
+    real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
     codes = coded.indices.to_numpy()
-    real = np.array([bool(w) for w in words])[codes]
-    ends = np.append(0, np.cumsum(real))[offsets]
-    flat = bucket[codes[real]]
-    return [flat[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+    held = real[codes]
+    ends = np.append(0, np.cumsum(held))[offsets]
+    codes = codes[held]
+    return hashed[codes], (TOKENS - SHARED + (ending % SHARED).astype(np.int64)).astype(np.uint16)[codes], ends
+
+
+class Vocabulary:
+    """Tokens of words: ``hashes`` are those with a token of their own, by token."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.token = np.argsort(hashes, kind="stable").astype(np.uint16)
+        self.sorted = hashes[self.token]
+
+    def tokens(self, hashes: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        if not len(self.sorted):
+            return shared
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == hashes, self.token[at], shared)
 
 
-def _padded(column: list[bytes], token_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _padded(column: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of several documents with two pads around each, the places of the tokens, and each document's number."""
     sizes = np.array([len(x) // 2 for x in column], np.int64)
-    tokens = token_of[np.frombuffer(b"".join(column), np.uint16)]
+    tokens = np.frombuffer(b"".join(column), np.uint16)
     places = np.arange(len(tokens)) + 2 * np.repeat(np.arange(1, len(sizes) + 1), sizes)
-    padded = np.full(len(tokens) + 2 * len(sizes) + 2, PAD, np.int16)
+    padded = np.full(len(tokens) + 2 * len(sizes) + 2, PAD, np.uint16)
     padded[places] = tokens
     return padded, places, sizes
 
 
-def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield from slices(batch, column, 2 * PART)
-
-
 def in_round(inside: np.ndarray, number: int) -> np.ndarray:
     """Which positions of a document the round ``number`` trains on."""
     return (inside + number * STRIDE // ROUNDS) % STRIDE == 0
 
 
-def train(tokens: DataFrame, token_of: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    flat = start(np.bincount(token_of, counts, TOKENS))
+def train(tokens: DataFrame, counts: np.ndarray) -> np.ndarray:
+    """The network's parameters, from rows (k, w)."""
+    flat = start(counts)
+    shards = int(np.clip(-(-int(counts.sum()) // SHARD), 1, SHARDS))
+    order = F.xxhash64("k", "w").alias("o")
+    dealt = tokens.select(order, "w").withColumn("s", F.pmod("o", F.lit(shards)).cast("int")).repartitionById(shards, F.col("s")).sortWithinPartitions("s", "o")
+    dealt = dealt.select("s", "w")
     for number in range(ROUNDS):
-        now = flat
+        shared = tokens.sparkSession.sparkContext.broadcast(flat)
 
         @tidy
-        def fit(batches: Iterator[pa.RecordBatch], now=now, number=number) -> Iterator[pa.RecordBatch]:
-            trainer = Trainer(now)
-            for part in _parts(batches, 0):
-                padded, places, sizes = _padded(part.column(0).to_pylist(), token_of)
+        def fit(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
+            trainer, now = None, None
+
+            def sent() -> pa.RecordBatch:
+                rows = np.array_split(trainer.flat, -(-SIZE // BLOCK))
+                columns = [pa.array(range(len(rows)), pa.int32()), pa.array([now] * len(rows), pa.int32()), pa.array([trainer.seen] * len(rows), pa.int64()), pa.array(rows, pa.list_(pa.float32()))]
+                return pa.RecordBatch.from_arrays(columns, ["block", "s", "n", "values"])
+
+            waiting: list[bytes] = []
+
+            def step() -> None:
+                padded, places, sizes = _padded(waiting)
                 inside = np.arange(len(places)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 trainer.train(padded, places[in_round(inside, number)])
-            if trainer.seen:
-                rows = np.array_split(trainer.flat, -(-SIZE // BLOCK))
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([trainer.seen] * len(rows), pa.int64()), pa.array(rows, pa.list_(pa.float32()))], ["block", "n", "values"])
+                waiting.clear()
+
+            words = 0
+            for (shard,), batch in runs(batches, 1):
+                if shard != now:
+                    if trainer is not None:
+                        step()
+                        yield sent()
+                    trainer, now, words = Trainer(shared.value), shard, 0
+                # The steps' bounds depend on the rows alone, not on batches.
+                for row in batch.column(1):
+                    waiting.append(row.as_py())
+                    words += len(waiting[-1]) // 2
+                    if words >= PART:
+                        step()
+                        words = 0
+            if trainer is not None:
+                step()
+                yield sent()
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for number, total, n in _sums(batches):
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([total / n], pa.list_(pa.float64()))], ["block", "values"])
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([total / max(n, 1)], pa.list_(pa.float64()))], ["block", "values"])
 
-        sent = tokens.select("w").mapInArrow(fit, "block int, n long, values array<float>").repartition("block").sortWithinPartitions("block")
-        rows = sent.mapInArrow(average, "block int, values array<double>").orderBy("block").collect()  # the model
-        if rows:
+        made = dealt.mapInArrow(fit, "block int, s int, n long, values array<float>").repartition("block").sortWithinPartitions("block", "s")
+        rows = made.mapInArrow(average, "block int, values array<double>").orderBy("block").collect()  # the model
+        if rows and sum(len(r["values"]) for r in rows) == SIZE:
             flat = np.concatenate([np.array(r["values"], np.float32) for r in rows])
     return flat
 
@@ -102,7 +149,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray,
     """Weighted sums per block, as the rows come in."""
     block, total, n = None, None, 0
     for batch in batches:
-        for b, weight, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        for b, weight, values in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
             own = weight * values.values.to_numpy().astype(np.float64)
             if b != block:
                 if block is not None:
@@ -114,44 +161,98 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray,
         yield block, total, n
 
 
-def pseudo_likelihood(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``df``: the key, n_tokens, log_likelihood (natural, summed over all tokens), mean_log_likelihood.
+def _frequent(rows: DataFrame) -> np.ndarray:
+    """Hashes of the words that get tokens of their own, the most frequent first, the smaller hash of equals."""
 
-    A null or empty text, or one without words, has 0 tokens, a sum of 0 and a
-    null mean.  Whole texts are scored.  The network depends on how the rows lie
-    in partitions, so scores of another layout differ slightly.
-    """
-    rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    kind = dict(rows.dtypes)["k"]
+    @tidy
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 0):
+                words, n = np.unique(word_hashes(part.column(0))[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], ["h", "n"])
+
+    counted = rows.select("t").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return np.array([r["h"] for r in counted.orderBy(F.desc("n"), "h").limit(TOKENS - SHARED).collect()], np.int64)  # bounded
+
+
+def _tokenised(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Per row: its number, k, the tokens as unsigned 16-bit numbers, and hashes and counts of the words that share tokens."""
 
     @tidy
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in slices(batch, 1):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(word_buckets(part.column(1)), pa.binary())], ["k", "w"])
+                hashes, shared, ends = word_hashes(part.column(1))
+                tokens = vocabulary.tokens(hashes, shared).astype(np.uint16)
+                own, rare, many, held = [], [], [], [0]
+                for a, b in zip(ends, ends[1:]):
+                    own.append(tokens[a:b].tobytes())
+                    words, n = np.unique(hashes[a:b][tokens[a:b] >= TOKENS - SHARED], return_counts=True)
+                    rare.append(words)
+                    many.append(n)
+                    held.append(held[-1] + len(words))
+                held = pa.array(held, pa.int32())
+                lists = [pa.ListArray.from_arrays(held, pa.array(np.concatenate(x).astype(np.int64))) for x in (rare, many)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + part.num_rows)), part.column(0), pa.array(own, pa.binary()), *lists], ["id", "k", "w", "rare", "many"])
+                number += part.num_rows
 
+    return rows.mapInArrow(tokenise, f"id long, k {dict(rows.dtypes)['k']}, w binary, rare array<long>, many array<long>")
+
+
+def _token_counts(tokens: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for part in _parts(batches, 0):
-            total += np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint16), minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(BUCKETS), pa.int32()), pa.array(total)], ["bucket", "n"])
-
-    tokens = materialise(rows.mapInArrow(tokenise, f"k {kind}, w binary"))
-    counts = np.zeros(BUCKETS, np.int64)
-    for r in tokens.select("w").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows
-        counts[r["bucket"]] = r["n"]
-    token_of = (TOKENS - SHARED + np.arange(BUCKETS) % SHARED).astype(np.int16)
-    token_of[np.argsort(-counts, kind="stable")[: TOKENS - SHARED]] = np.arange(TOKENS - SHARED)
-    flat = df.sparkSession.sparkContext.broadcast(train(tokens, token_of, counts))
+        total = np.zeros(TOKENS, np.int64)
+        for batch in batches:
+            for part in slices(batch, 0, 2 * PART):
+                total += np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint16), minlength=TOKENS)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["token", "n"])
+
+    counts = np.zeros(TOKENS, np.int64)
+    for r in tokens.select("w").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():  # TOKENS rows
+        counts[r["token"]] = r["n"]
+    return counts
+
+
+def pseudo_likelihood(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``df``: the key, n_tokens, log_likelihood (natural, summed over all tokens), mean_log_likelihood, rare_log_share.
+
+    rare_log_share is the mean, over the document's words that share a token, of
+    the logarithm of the word's part of that token's occurrences.  A null or
+    empty text, or one without words, has 0 tokens, a sum of 0 and null means.
+    Whole texts are scored; repeated rows are scored each.  Scores don't depend
+    on how the rows lie in partitions.
+    """
+    rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    tokens = materialise(_tokenised(rows, Vocabulary(_frequent(rows))))
+    counts = _token_counts(tokens)
+    model = df.sparkSession.sparkContext.broadcast((train(tokens, counts), np.log(np.maximum(counts, 1))))
 
     @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches, 1):
-            padded, places, sizes = _padded(part.column(1).to_pylist(), token_of)
-            ends = np.append(0, np.cumsum(log_probabilities(flat.value, padded, places)))
-            at = np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(ends[at] - ends[at - sizes])], ["k", "n_tokens", "log_likelihood"])
-
-    scored = tokens.mapInArrow(score, f"k {kind}, n_tokens long, log_likelihood double")
-    mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood")
-    return scored.select(F.col("k").alias(key), "n_tokens", "log_likelihood", mean)
+        for batch in batches:
+            flat, logs = model.value
+            for part in slices(batch, 2, 2 * PART):
+                padded, places, sizes = _padded(part.column(2).to_pylist())
+                shared = padded[places] >= TOKENS - SHARED
+                # The words' own counts come in later.
+                of = np.append(0, np.cumsum(np.where(shared, -logs[padded[places]], 0)))
+                ends = np.append(0, np.cumsum(log_probabilities(flat, padded, places)))
+                held = np.append(0, np.cumsum(shared))
+                at = np.cumsum(sizes)
+                columns = [pa.array(sizes), *(pa.array(x[at] - x[at - sizes]) for x in (ends, of, held))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *columns], ["id", "k", "n_tokens", "net", "shares", "shared"])
+
+    kind = dict(rows.dtypes)["k"]
+    scored = tokens.select("id", "k", "w").mapInArrow(score, f"id long, k {kind}, n_tokens long, net double, shares double, shared long")
+    words = tokens.select("id", F.explode(F.arrays_zip("rare", "many")).alias("x")).select("id", F.col("x.rare").alias("h"), F.col("x.many").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("h"))
+    known = words.withColumn("own", F.col("n") * F.log(total.cast("double"))).groupBy("id").agg(F.sum("own").alias("own"))
+    found = scored.join(known, "id", "left").withColumn("shares", F.col("shares") + F.coalesce("own", F.lit(0.0)))
+    sum_of = F.col("net") + F.col("shares")
+    return found.select(
+        F.col("k").alias(key), "n_tokens", sum_of.alias("log_likelihood"),
+        F.when(F.col("n_tokens") > 0, sum_of / F.col("n_tokens")).alias("mean_log_likelihood"),
+        F.when(F.col("shared") > 0, F.col("shares") / F.col("shared")).alias("rare_log_share"),
+    )

@@ -1,22 +1,28 @@
 """A bidirectional window network over tokens, in numpy.
 
 Each of the four neighbours (two on either side) adds a row of its position's
-table to a hidden layer; tanh and a linear layer give the token's distribution.
+table to a hidden layer.  The token is predicted in two steps: the layer gives
+the distribution of the token's group, and the layer, weighted cell by cell by
+the group, that of the token within it.  So a vocabulary of GROUPS * SIDE tokens
+costs GROUPS + SIDE outputs a token.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-TOKENS, HIDDEN = 256, 32
+GROUPS, SIDE, HIDDEN = 64, 64, 32
+TOKENS = GROUPS * SIDE
 PLACES = (-2, -1, 1, 2)
 #: The token outside a document.
 PAD = TOKENS
-_SHAPES = ((len(PLACES), TOKENS + 1, HIDDEN), (HIDDEN,), (HIDDEN, TOKENS), (TOKENS,))
+_SHAPES = ((len(PLACES), TOKENS + 1, HIDDEN), (HIDDEN,), (HIDDEN, GROUPS), (GROUPS,), (GROUPS, HIDDEN), (HIDDEN, SIDE), (GROUPS, SIDE))
+_TABLES = len(PLACES) * (TOKENS + 1) * HIDDEN
 SIZE = sum(int(np.prod(s)) for s in _SHAPES)
 
 
 def views(flat: np.ndarray) -> list[np.ndarray]:
+    """tables, hidden, groups' weights and bias, gates, weights within a group, tokens' bias."""
     out, at = [], 0
     for shape in _SHAPES:
         n = int(np.prod(shape))
@@ -26,11 +32,13 @@ def views(flat: np.ndarray) -> list[np.ndarray]:
 
 
 def start(counts: np.ndarray, seed: int = 5) -> np.ndarray:
-    """First parameters: small tables, and the tokens' frequencies as bias."""
+    """First parameters: small weights, open gates, and the tokens' frequencies as bias."""
     flat = (np.random.default_rng(seed).standard_normal(SIZE) * 0.1).astype(np.float32)
-    tables, hidden, out, bias = views(flat)
-    hidden[:] = 0
-    bias[:] = np.log((counts + 1) / (counts.sum() + len(counts)))
+    _, hidden, _, bias, gates, _, inner = views(flat)
+    of = (counts + 0.5).reshape(GROUPS, SIDE)
+    hidden[:], gates[:] = 0, 1
+    bias[:] = np.log(of.sum(axis=1) / of.sum())
+    inner[:] = np.log(of / of.sum(axis=1, keepdims=True))
     return flat
 
 
@@ -38,12 +46,28 @@ def neighbours(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([padded[at + p] for p in PLACES])
 
 
-def _forward(params: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    tables, hidden, out, bias = params
-    h = np.tanh(sum(tables[p][around[p]] for p in range(len(PLACES))) + hidden)
-    logits = h @ out
-    logits += bias
-    return h, logits
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """In place; returns what was taken off and the logarithm of the sums, together."""
+    top = logits.max(axis=1, keepdims=True)
+    logits -= top
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=1, keepdims=True)
+    logits /= total
+    return (top + np.log(total))[:, 0]
+
+
+def _forward(params: list[np.ndarray], around: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, ...]:
+    tables, hidden, weights, bias, gates, within, inner = params
+    h = tables[0][around[0]]
+    for place in range(1, len(PLACES)):
+        h += tables[place][around[place]]
+    h += hidden
+    np.tanh(h, out=h)
+    gated = h * gates[group]
+    first, second = h @ weights, gated @ within
+    first += bias
+    second += inner[group]
+    return h, gated, first, second
 
 
 def log_probabilities(flat: np.ndarray, padded: np.ndarray, at: np.ndarray, batch: int = 4096) -> np.ndarray:
@@ -51,47 +75,68 @@ def log_probabilities(flat: np.ndarray, padded: np.ndarray, at: np.ndarray, batc
     params, result = views(flat), np.empty(len(at), np.float64)
     for k in range(0, len(at), batch):
         own = at[k : k + batch]
-        _, logits = _forward(params, neighbours(padded, own))
-        hit = logits[np.arange(len(own)), padded[own]].astype(np.float64)
-        top = logits.max(axis=1, keepdims=True)
-        logits -= top
-        np.exp(logits, out=logits)
-        result[k : k + batch] = hit - top[:, 0] - np.log(logits.sum(axis=1, dtype=np.float64))
+        group, member = np.divmod(padded[own].astype(np.int64), SIDE)
+        _, _, first, second = _forward(params, neighbours(padded, own), group)
+        rows = np.arange(len(own))
+        hit = first[rows, group].astype(np.float64) + second[rows, member]
+        result[k : k + batch] = hit - _softmax(first) - _softmax(second)
     return result
 
 
+def _summed(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of ``index``, and the sums of their rows."""
+    order = np.argsort(index, kind="stable")
+    own = index[order]
+    begins = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    return own[begins], np.add.reduceat(values[order], begins, axis=0)
+
+
+def gradient(params: list[np.ndarray], around: np.ndarray, token: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
+    """Of the mean of -log p(token | around): (rows, their gradients) for each place's table, and those of the other parameters."""
+    n = len(token)
+    group, member = np.divmod(token.astype(np.int64), SIDE)
+    _, _, weights, _, gates, within, _ = params
+    h, gated, first, second = _forward(params, around, group)
+    _softmax(first), _softmax(second)
+    rows = np.arange(n)
+    first[rows, group] -= 1
+    second[rows, member] -= 1
+    first /= n
+    second /= n
+    back = second @ within.T
+    seen, sums = _summed(group, np.concatenate([back * h, second], axis=1))
+    gate, inner = np.zeros_like(gates), np.zeros((GROUPS, SIDE), gates.dtype)
+    gate[seen], inner[seen] = sums[:, :HIDDEN], sums[:, HIDDEN:]
+    back = (first @ weights.T + back * gates[group]) * (1 - h * h)
+    tables = [_summed(own, back) for own in around]
+    return tables, [back.sum(axis=0), h.T @ first, first.sum(axis=0), gate, gated.T @ second, inner]
+
+
 class Trainer:
-    """Adam on one partition's examples, from shared parameters."""
+    """Adam on one shard's examples, from shared parameters; of the tables only the rows that a batch meets move."""
 
-    def __init__(self, flat: np.ndarray, rate: float = 0.004, batch: int = 1024):
+    def __init__(self, flat: np.ndarray, rate: float = 0.004, batch: int = 2048):
         self.flat, self.rate, self.batch = flat.copy(), rate, batch
         self.params = views(self.flat)
         self.first, self.second = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        self.moments = views(self.first), views(self.second)
         self.steps = self.seen = 0
 
     def train(self, padded: np.ndarray, at: np.ndarray) -> None:
+        """Steps over the places ``at``, in an order of chance that depends on nothing but their number."""
+        at = np.random.default_rng(len(at)).permutation(at)
         for k in range(0, len(at), self.batch):
-            self._step(padded, at[k : k + self.batch])
-
-    def _step(self, padded: np.ndarray, at: np.ndarray) -> None:
-        around, n = neighbours(padded, at), len(at)
-        h, p = _forward(self.params, around)
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), padded[at]] -= 1
-        p /= n
-        back = (p @ self.params[2].T) * (1 - h * h)
-        gradient = np.empty_like(self.flat)
-        tables, hidden, out, bias = views(gradient)
-        cells, weights = np.arange(HIDDEN), back.ravel()
-        for place in range(len(PLACES)):
-            index = (around[place][:, None].astype(np.int64) * HIDDEN + cells).ravel()
-            tables[place] = np.bincount(index, weights, (TOKENS + 1) * HIDDEN).reshape(TOKENS + 1, HIDDEN)
-        hidden[:], out[:], bias[:] = back.sum(axis=0), h.T @ p, p.sum(axis=0)
-        self.steps += 1
-        self.seen += n
-        self.first += 0.1 * (gradient - self.first)
-        self.second += 0.01 * (gradient * gradient - self.second)
+            own = at[k : k + self.batch]
+            tables, rest = gradient(self.params, neighbours(padded, own), padded[own])
+            self.steps += 1
+            self.seen += len(own)
+            for place, (rows, values) in enumerate(tables):
+                self._move(self.params[0][place], self.moments[0][0][place], self.moments[1][0][place], rows, values)
+            self._move(self.flat, self.first, self.second, slice(_TABLES, SIZE), np.concatenate([g.ravel() for g in rest]))
+
+    def _move(self, values: np.ndarray, first: np.ndarray, second: np.ndarray, where, gradient: np.ndarray) -> None:
+        one = first[where] + 0.1 * (gradient - first[where])
+        two = second[where] + 0.01 * (gradient * gradient - second[where])
+        first[where], second[where] = one, two
         scale = self.rate / (1 - 0.9**self.steps)
-        self.flat -= scale * self.first / (np.sqrt(self.second / (1 - 0.99**self.steps)) + 1e-6)
+        values[where] -= scale * one / (np.sqrt(two / (1 - 0.99**self.steps)) + 1e-6)
