@@ -33,7 +33,7 @@ def test_array_merges_equal_the_agenda(rows, data):
     extra = [(4 + k, k % 4, 16 + k, 30 + k) for k in range(16)]
     left, right, rank, merged = (list(x) + [e[i] for e in extra] for i, x in enumerate((left, right, rank, merged)))
     pairs = PairTable(left, right, rank, merged)
-    ids, sizes = merge_ragged(np.array([x for r in rows for x in r], np.int32), np.array([len(r) for r in rows]), pairs, longest=9)
+    ids, sizes = merge_ragged(np.array([x for r in rows for x in r], np.int32), np.array([len(r) for r in rows]), pairs)
     want = [agenda(list(r), pairs.one) for r in rows]
     assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
 
