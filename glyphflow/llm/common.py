@@ -80,24 +80,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-#: A key with more rows than these, and than 2 / SPREAD of all, is joined by broadcast; so at most SPREAD keys are.
-HOT, SPREAD = 200, 10_000
+#: Tasks over which a hot key of a join is spread.
+SALTS = 16
 
 
-def meet(left: DataFrame, right: DataFrame, on: str, weight: str, total: int, how: str = "inner") -> DataFrame:
-    """``left`` joined with ``right``, which has each key once and in ``weight`` the key's number of rows in ``left``.
+def spread(left: DataFrame, right: DataFrame, on: str, by: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """``left`` joined with ``right``, which has each key once; a key's rows in ``left`` go to ``salts`` tasks, by the columns ``by``.
 
-    ``total`` is at least half of what the weights add up to.  Hot keys come to
-    where the rows of ``left`` lie, and are SPREAD at most; the others meet by
-    shuffle, where no key has more than a task's share.
+    ``right`` is sent ``salts`` times, so it should be the smaller by far.
     """
     from pyspark.sql import functions as F
 
-    limit = max(HOT, 2 * total // SPREAD)
-    hot = F.broadcast(right.where(F.col(weight) > limit).drop(weight))
-    cold = right.where(F.col(weight) <= limit).drop(weight)
-    known = hot.select(on)
-    return left.join(hot, on).unionByName(left.join(known, on, "left_anti").join(cold, on, how))
+    (salt,) = fresh(left.limit(0).join(right.limit(0), on), "salt")
+    many = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).join(many, [on, salt], how).drop(salt)
 
 
 def kept(name: tuple, make: Callable[[], object]) -> object:

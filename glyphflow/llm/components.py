@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, materialise, meet
+from .common import SALTS, drop, materialise, spread
+
+#: Links from which the hub of a star is spread over this many times SALTS tasks.
+MANY, TIMES = 10_000_000, 16
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -13,11 +16,12 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris and others, 2014):
     every step points nodes at the smallest neighbour, and the edges become
-    stars.  Minima are aggregated before the shuffle; a node with more links
-    than a task's share gets its minimum by broadcast (see ``meet``), so its
-    links stay where they are.  Each round is written to shared storage, the
-    round before it is deleted, and the driver sees a count and a checksum only.
-    Links with a null end and links of a node with itself count for nothing.
+    stars.  A node's smallest neighbour is aggregated before the shuffle, and
+    only nodes that have a smaller one send it on, to several tasks by the other
+    end of the link, so the links of a star's centre are spread over these.
+    Each round is written to shared storage, the round before it is deleted, and
+    the driver sees a count and a checksum only.  Links with a null end and
+    links of a node with itself count for nothing.
     """
     a, b = links.columns
     now = materialise(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
@@ -25,22 +29,18 @@ def connected_components(links: DataFrame) -> DataFrame:
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    def least(df: DataFrame) -> DataFrame:
-        return df.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("links"))
-
     seen = mark(now)
+    salts = SALTS * (TIMES if seen[0] > MANY else 1)
     while seen[0]:
         both = now.union(now.select("v", "u"))
-        nearest = least(both).select("u", F.least("u", "m").alias("m"), "links")
-        large = meet(both.where("v > u"), nearest, "u", "links", seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large)
-        nearest = least(large)
-        small = meet(large, nearest, "u", "links", seen[0]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, last = seen, now
-        now = materialise(small.union(nearest.select("u", F.col("m").alias("v"))).distinct())
+        smaller = both.groupBy("u").agg(F.min("v").alias("m")).where("m < u")
+        large = spread(both.where("v > u"), smaller, "u", ["v"], "left", salts).select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v")).distinct()
+        nearest = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        found = nearest.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
+        last, before = now, seen
+        now = materialise(found.select("e.*").where("u != v").distinct())
         seen = mark(now)
         drop(last)
-        drop(large)
         if before == seen:
             break
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

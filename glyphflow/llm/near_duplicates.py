@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, grouped, materialise, meet, slices, tidy, whole_groups
+from .common import fresh, grouped, materialise, slices, spread, tidy, whole_groups
 from .components import connected_components
 from .hyperminhash import ROWS, band_keys, bands_for, corrected, digest, mix, registers, shares, shingle_sets
 
@@ -43,9 +43,11 @@ SURE = 5.0
 #: Members of a cluster, and shingles, that a task holds of either side, about.
 BLOCK, BLOCK_SHINGLES = 512, 4_000_000
 #: Members of a key that a task holds of either side; only registers are held of these.
-KEY_BLOCK = 2048
+KEY_BLOCK = 1024
 #: Rows of keys' members that are compared together.
 GATHER = 4096
+#: Links of a cluster that one task joins.
+MOST = 500_000
 
 
 def floors(held: np.ndarray, threshold: float) -> np.ndarray:
@@ -99,13 +101,13 @@ def _stacked(column: list[bytes]) -> np.ndarray:
 
 def _cluster_edges(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b): pairs that join the members of a key that may be in one cluster."""
-    keys = materialise(classes.select("id", F.explode("keys").alias("key")).distinct())
+    # A hot key's rows are numbers only; Spark splits such joins where they are large.
+    keys = classes.select("id", F.explode("keys").alias("key")).distinct()
     leads = keys.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    led = materialise(meet(keys, leads.withColumn("weight", F.col("members")), "key", "weight", keys.count()).where("id != lead"))
+    led = materialise(spread(keys, leads, "key", ["id"]).where("id != lead").select("key", "lead", "id", "members"))
     of = classes.select("id", "n", "regs")
-    pairs = materialise(led.select("lead", "id").distinct())
-    first = pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("weight")).join(of.select(F.col("id").alias("lead"), F.col("n").alias("n2"), F.col("regs").alias("regs2")), "lead")
-    both = meet(pairs.join(of, "id"), first, "lead", "weight", pairs.count())
+    first = led.select("lead").distinct().join(of.select(F.col("id").alias("lead"), F.col("n").alias("n2"), F.col("regs").alias("regs2")), "lead")
+    both = spread(led.select("lead", "id").distinct().join(of, "id"), first, "lead", ["id"])
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,8 +119,8 @@ def _cluster_edges(classes: DataFrame, threshold: float) -> DataFrame:
 
     met = materialise(both.select("lead", "id", "n", "regs", "n2", "regs2").mapInArrow(close, "a long, b long, near boolean"))
     rejected = met.where("not near").select(F.col("a").alias("lead"), F.col("b").alias("id"))
-    mixed = led.join(rejected, ["lead", "id"], "left_semi").groupBy("key").agg(F.max("members").alias("weight"))
-    return met.where("near").select("a", "b").union(_mixed_edges(meet(led, mixed, "key", "weight", led.count()), of, threshold))
+    mixed = led.join(rejected, ["lead", "id"], "left_semi").select("key").distinct()
+    return met.where("near").select("a", "b").union(_mixed_edges(spread(led, mixed, "key", ["id"]), of, threshold))
 
 
 def _mixed_edges(led: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
@@ -191,12 +193,12 @@ class Joined:
             self.up = up
 
 
-def block_links(ids: np.ndarray, side: np.ndarray, known: np.ndarray, regs: np.ndarray, sets: list[np.ndarray], over: int, under: int) -> Iterator[tuple[int, int]]:
-    """Links that join members, by full sets; ``side``: 0 or 1, then rows of different sides are compared; all 0 for all pairs.
+def block_links(ids: np.ndarray, side: np.ndarray, known: np.ndarray, regs: np.ndarray, sets: list[np.ndarray], over: int, under: int) -> tuple[list[tuple[int, int]], Joined]:
+    """Links (pairs of rows) that join members, by full sets; ``side``: 0 or 1, then rows of different sides are compared; all 0 for all pairs.
 
     Rows with the same value in ``known`` are joined already.
     """
-    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    n, found = np.fromiter(map(len, sets), np.int64, len(sets)), []
     joined = Joined(len(ids))
     _, first, number = np.unique(known, return_index=True, return_inverse=True)
     joined.up = first[number]
@@ -216,7 +218,8 @@ def block_links(ids: np.ndarray, side: np.ndarray, known: np.ndarray, regs: np.n
             common = int((own[np.minimum(at, len(own) - 1)] == sets[j]).sum())
             if under * common >= over * (n[i] + n[j] - common):
                 joined.join(i, j)
-                yield int(ids[i]), int(ids[j])
+                found.append((i, j))
+    return found, joined
 
 
 def _sets(rows: DataFrame, members: DataFrame, words: int, m: int) -> DataFrame:
@@ -239,8 +242,8 @@ def _sets(rows: DataFrame, members: DataFrame, words: int, m: int) -> DataFrame:
     return met.mapInArrow(gather, "id long, c long, blocks int, regs binary, own binary")
 
 
-def _meeting(held: DataFrame, keys: list[str], over: int, under: int) -> DataFrame:
-    """(a, b): links that join what is linked within groups of rows; see ``block_links``."""
+def _meeting(held: DataFrame, keys: list[str], over: int, under: int, stars: bool) -> DataFrame:
+    """(c, blocks, a, b): what is linked within groups of rows, as links or as (smallest id of what is joined, other id); see ``block_links``."""
     held = held.repartition(*keys).sortWithinPartitions(*keys, "side", "id")
 
     @tidy
@@ -250,39 +253,64 @@ def _meeting(held: DataFrame, keys: list[str], over: int, under: int) -> DataFra
                 continue
             ids, side, known = (group[c].to_numpy() for c in ("id", "side", "known"))
             sets = [np.frombuffer(x, np.uint64) for x in group["own"].to_pylist()]
-            found = list(block_links(ids, side, known, _stacked(group["regs"].to_pylist()), sets, over, under))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+            found, joined = block_links(ids, side, known, _stacked(group["regs"].to_pylist()), sets, over, under)
+            if stars:  # all rows are of side 0 and in the order of ids
+                a, b = ids[joined.roots()], ids
+            else:
+                a, b = (ids[[f[k] for f in found]] if found else ids[:0] for k in (0, 1))
+            apart = np.flatnonzero(a != b)
+            if len(apart):
+                c, blocks = (np.full(len(apart), group[x][0].as_py(), t) for x, t in (("c", np.int64), ("blocks", np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(blocks), pa.array(a[apart]), pa.array(b[apart])], ["c", "blocks", "a", "b"])
+
+    return held.select(*keys, "side", "id", "known", "regs", "own").mapInArrow(compare, "c long, blocks int, a long, b long")
+
+
+def _by_cluster(links: DataFrame) -> DataFrame:
+    """(id, component) from links (c, a, b) of clusters with up to MOST links each; a cluster is one task's work."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, 1):
+            number, own = np.unique(np.concatenate([group["a"].to_numpy(), group["b"].to_numpy()]), return_inverse=True)
+            joined, half = Joined(len(number)), group.num_rows
+            for a, b in zip(own[:half].tolist(), own[half:].tolist(), strict=True):
+                joined.join(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(number[joined.roots()])], ["id", "component"])
 
-    return held.select(*keys, "side", "id", "known", "regs", "own").mapInArrow(compare, "a long, b long")
+    return links.select("c", "a", "b").repartition("c").sortWithinPartitions("c").mapInArrow(join, "id long, component long")
 
 
-def _links(rows: DataFrame, classes: DataFrame, clusters: DataFrame, words: int, over: int, under: int) -> DataFrame:
-    """(a, b): links between classes that join all that is linked."""
+def _components(rows: DataFrame, classes: DataFrame, clusters: DataFrame, words: int, over: int, under: int) -> DataFrame:
+    """(id, component) for classes that are linked with others."""
     many = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     of = classes.select("id", "n", "k", "x").join(clusters.select("id", F.col("component").alias("c")), "id")
-    sizes = of.groupBy("c").agg(many.alias("blocks"), F.count(F.lit(1)).alias("members"))
-    wanted = materialise(meet(of, sizes, "c", "members", clusters.count()))
+    wanted = spread(of, of.groupBy("c").agg(many.alias("blocks")), "c", ["id"])
     sets = materialise(_sets(rows, wanted.select("k", "x", "id", "c", "blocks"), words, bands_for(over / under) * ROWS))
     # Blocks, each with its cluster's leader, whose id is the cluster's number.
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     placed = sets.withColumn("b", mine)
     leaders = sets.where("id = c and blocks > 1").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(F.col("b") != mine)
     everyone = placed.unionByName(leaders).withColumns({"side": F.lit(0), "known": F.col("id")})
-    found = materialise(_meeting(everyone, ["c", "b"], over, under))
-    if wanted.where("blocks > 1").isEmpty():
-        return found
+    found = materialise(_meeting(everyone, ["c", "blocks", "b"], over, under, True))
+    whole = found.where("blocks = 1")
+    alone = whole.select(F.col("b").alias("id"), F.col("a").alias("component")).union(whole.select("a", "a").distinct())
+    if sets.where("blocks > 1").isEmpty():
+        return alone
     # What its block did not link to the leader meets the other blocks.
-    linked = connected_components(found)
-    large = placed.where("blocks > 1").join(linked, "id", "left").withColumn("known", F.coalesce("component", "id")).drop("component")
-    apart = F.count_if(F.col("known") != F.col("c"))
-    groups = large.groupBy("c").agg(F.ceil(apart / BLOCK).cast("int").alias("groups"), F.count(F.lit(1)).alias("weight"))
-    large = meet(large, groups, "c", "weight", clusters.count()).where("groups > 0")
+    linked = found.where("blocks > 1").select(F.col("b").alias("id"), F.col("a").alias("root"))
+    large = placed.where("blocks > 1").join(linked, "id", "left").withColumn("known", F.coalesce("root", "id")).drop("root")
+    groups = large.where("known != c").groupBy("c").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("groups"))
+    large = materialise(spread(large, groups, "c", ["id"]))
     left = large.where("known != c").withColumns({"g": F.pmod(F.xxhash64("id", F.lit(1)), F.col("groups")).cast("int"), "side": F.lit(0)})
     left = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = large.withColumns({"g": F.explode(F.sequence(F.lit(0), F.col("groups") - 1)), "side": F.lit(1)})
-    columns = ["c", "g", "b", "side", "id", "known", "regs", "own"]
-    return found.union(_meeting(left.select(columns).union(right.select(columns)), ["c", "g", "b"], over, under))
+    columns = ["c", "blocks", "g", "b", "side", "id", "known", "regs", "own"]
+    across = _meeting(left.select(columns).union(right.select(columns)), ["c", "blocks", "g", "b"], over, under, False)
+    links = materialise(found.where("blocks > 1").union(across))
+    counts = links.groupBy("c").agg(F.count(F.lit(1)).alias("links"))
+    most = counts.where(F.col("links") > MOST)
+    out = alone.union(_by_cluster(spread(links, counts.where(F.col("links") <= MOST), "c", ["a", "b"])))
+    return out if most.isEmpty() else out.union(connected_components(spread(links, most, "c", ["a", "b"]).select("a", "b")))
 
 
 def _decided(df: DataFrame, words: int, over: int, under: int, key: str, text: str) -> DataFrame:
@@ -294,12 +322,15 @@ def _decided(df: DataFrame, words: int, over: int, under: int, key: str, text: s
     classes = signed.where(taking).groupBy("h").agg(first.alias("r"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("keys").alias("keys"))
     classes = materialise(classes.select(F.monotonically_increasing_id().alias("id"), "h", "r.k", "r.x", "rows", "n", "regs", "keys"))
     clusters = materialise(connected_components(_cluster_edges(classes, over / under)))
-    components = connected_components(_links(rows.where(F.col("k").isNotNull()), classes, clusters, words, over, under))
-    named = classes.select("id", "h", "k", "x", "rows").join(components, "id", "left").withColumn("c", F.coalesce("component", "id"))
-    groups = named.groupBy("c").agg(first.alias("first"), F.count(F.lit(1)).alias("weight"))
-    of = meet(named, groups, "c", "weight", classes.count()).select("h", "rows", "first")
+    components = _components(rows.where(F.col("k").isNotNull()), classes, clusters, words, over, under)
+    linked = classes.select("id", "h", "k", "x").join(components, "id")
+    groups = linked.groupBy("component").agg(first.alias("first"))
+    named = spread(linked.select("h", "component"), groups, "component", ["h"]).select("h", "first")
+    # Classes of one document that is linked with none need no join.
+    copies = classes.where("rows > 1").select("h", F.struct("k", "x").alias("own"))
+    of = materialise(copies.join(named, "h", "full").select("h", F.coalesce("first", "own").alias("first")))
     shown = signed.select("k", "x", "n", "h")
-    met = meet(shown.where(taking), of, "h", "rows", signed.count()).select("k", "x", "n", "first")
+    met = spread(shown.where(taking), of, "h", ["k", "x"], "left").select("k", "x", "n", F.coalesce("first", F.struct("k", "x")).alias("first"))
     none = F.lit(None).cast(met.schema["first"].dataType)
     return met.union(shown.where(~taking).select("k", "x", "n", none.alias("first")))
 
