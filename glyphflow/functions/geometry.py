@@ -31,6 +31,11 @@ def unclip_distance(w: Column, h: Column, s: Settings = DEFAULTS) -> Column:
     return F.when(flat, F.lit(0.0)).otherwise(w * h * s.unclip_ratio / (2 * (w + h)) * s.unclip_extra)
 
 
+def passes_gates(short: Column, score: Column, short_after: Column, s: Settings = DEFAULTS) -> Column:
+    """Whether a box counts: its short side, its score, and its short side after it has grown."""
+    return (short >= s.short_side) & (score >= s.box_score) & (short_after >= s.short_side_after)
+
+
 def to_image(value: Column, map_side: Column, image_side: Column) -> Column:
     """A coordinate of a probability map in the image; the far edge itself is allowed."""
     return F.least(F.greatest(F.rint(value / map_side * image_side), F.lit(0.0)), image_side.cast("double")).cast("int")

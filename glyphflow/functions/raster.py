@@ -231,14 +231,37 @@ def inside(polygon: np.ndarray, width: int, height: int) -> np.ndarray:
     return odd | edge
 
 
+def spans(polygon: np.ndarray, height: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a grid that a convex polygon of whole corners covers, and the first and last column of each, outline included.
+
+    A steep side passes through one column of a row; a flat one through all
+    columns at which it is nearer to this row than to the next.
+    """
+    p = np.asarray(polygon, np.float64)
+    ys = np.arange(max(0, int(p[:, 1].min())), min(height - 1, int(p[:, 1].max())) + 1, dtype=np.float64)
+    first, last = np.full(len(ys), np.inf), np.full(len(ys), -np.inf)
+    for (ax, ay), (bx, by) in zip(p, np.roll(p, -1, axis=0), strict=True):
+        (ax, ay), (bx, by) = sorted([(ax, ay), (bx, by)], key=lambda c: c[1])
+        met = (ys >= ay) & (ys <= by)
+        if ay == by:
+            ends = np.full(len(ys), ax), np.full(len(ys), bx)
+        else:
+            reach = 0.5 if abs(bx - ax) > by - ay else 0.0
+            ends = tuple(ax + (np.clip(ys + r, ay, by) - ay) * ((bx - ax) / (by - ay)) for r in (-reach, reach))
+        low, high = np.rint(np.minimum(*ends)), np.rint(np.maximum(*ends))
+        first[met], last[met] = np.minimum(first, low)[met], np.maximum(last, high)[met]
+    some = first <= last
+    return ys[some].astype(np.int64), np.clip(first[some], 0, width - 1).astype(np.int64), np.clip(last[some], 0, width - 1).astype(np.int64)
+
+
 def box_score(prob: np.ndarray, box: np.ndarray) -> float:
-    """Mean probability within a polygon."""
-    h, w = prob.shape
-    x0, x1 = (int(np.clip(f(box[:, 0]), 0, w - 1)) for f in (lambda v: np.floor(v.min()), lambda v: np.ceil(v.max())))
-    y0, y1 = (int(np.clip(f(box[:, 1]), 0, h - 1)) for f in (lambda v: np.floor(v.min()), lambda v: np.ceil(v.max())))
-    own = np.trunc(box - [x0, y0])
-    mask = inside(own, x1 - x0 + 1, y1 - y0 + 1)
-    return float(prob[y0 : y1 + 1, x0 : x1 + 1][mask].mean()) if mask.any() else 0.0
+    """Mean probability within a rectangle, whose corners count as the cells of the map that they lie in; 0 outside the map."""
+    rows, first, last = spans(np.floor(box), *prob.shape)
+    if not len(rows):
+        return 0.0
+    ends = np.cumsum(np.pad(prob[rows].astype(np.float64), ((0, 0), (1, 0))), axis=1)
+    k = np.arange(len(rows))
+    return float((ends[k, last + 1] - ends[k, first]).sum() / (last + 1 - first).sum())
 
 
 def grow(box: np.ndarray, s: Settings = DEFAULTS) -> np.ndarray:
@@ -254,23 +277,19 @@ def grow(box: np.ndarray, s: Settings = DEFAULTS) -> np.ndarray:
 
 
 def boxes_of_map(prob: np.ndarray, height: int, width: int, s: Settings = DEFAULTS) -> tuple[list[np.ndarray], list[float]]:
-    """Quadrilaterals (int, in image pixels) and scores of a probability map (H, W) for an image of the given sides."""
-    h, w = prob.shape
-    found, scores = [], []
-    for points in contours(prob > s.binarise_above)[: s.most_contours]:
-        box, short = mini_box(points)
-        if short < s.short_side:
-            continue
-        score = box_score(prob, box)
-        if score < s.box_score:
-            continue
-        box, short = mini_box(grow(box, s))
-        if short < s.short_side_after:
-            continue
-        scaled = np.stack([np.clip(np.rint(box[:, 0] / w * width), 0, width), np.clip(np.rint(box[:, 1] / h * height), 0, height)], axis=1)
-        found.append(scaled.astype(np.int32))
-        scores.append(score)
-    return found, scores
+    """Quadrilaterals (int, in image pixels) and scores of a probability map (H, W) for an image of the given sides.
+
+    Three gates: the short side, the score, and the short side once more after the rectangle has grown.
+    """
+    outlined = [mini_box(points) for points in contours(prob > s.binarise_above)[: s.most_contours]]
+    rated = [(box, box_score(prob, box)) for box, short in outlined if short >= s.short_side]
+    grown = [(*mini_box(grow(box, s)), score) for box, score in rated if score >= s.box_score]
+    final = [(box, score) for box, short, score in grown if short >= s.short_side_after]
+    if not final:
+        return [], []
+    sides = np.array([width, height])
+    placed = np.stack([box for box, _ in final]) / prob.shape[::-1] * sides
+    return list(np.clip(np.rint(placed), 0, sides).astype(np.int32)), [score for _, score in final]
 
 
 # ---- rendering -----------------------------------------------------------------------------------------------
@@ -283,8 +302,8 @@ BOX_COLOURS = {
 
 
 def draw_boxes(image: np.ndarray, items: list[dict], s: Settings = DEFAULTS) -> np.ndarray:
-    """Outlines two pixels wide, and faint fills, which are blended in once."""
-    lines, filled = image.copy(), image.copy()
+    """Faint fills with outlines two pixels wide: all are drawn on one layer, which is blended in once."""
+    layer = image.copy()
     h, w = image.shape[:2]
     for item in items:
         p = np.asarray(item["polygon"], np.int64)
@@ -294,15 +313,15 @@ def draw_boxes(image: np.ndarray, items: list[dict], s: Settings = DEFAULTS) ->
         x1, y1 = np.clip(p.max(axis=0) + 3, 0, [w, h])
         if x0 >= x1 or y0 >= y1:
             continue
-        filled[y0:y1, x0:x1][inside(p - [x0, y0], x1 - x0, y1 - y0)] = colour
+        layer[y0:y1, x0:x1][inside(p - [x0, y0], x1 - x0, y1 - y0)] = colour
         for a, b in zip(p, np.roll(p, -1, axis=0), strict=True):
             n = int(max(abs(b - a).max(), 1))
             line = np.rint(a + (b - a) * np.linspace(0, 1, n + 1)[:, None]).astype(np.int64)
             for d in ((0, 0), (1, 0), (0, 1)):
                 at = line + d
                 at = at[((at >= 0) & (at < [w, h])).all(axis=1)]
-                lines[at[:, 1], at[:, 0]] = filled[at[:, 1], at[:, 0]] = colour
-    return np.clip(np.rint(filled * s.fill + lines * (1 - s.fill)), 0, 255).astype(np.uint8)
+                layer[at[:, 1], at[:, 0]] = colour
+    return np.clip(np.rint(layer * s.fill + image * (1 - s.fill)), 0, 255).astype(np.uint8)
 
 
 def png(image: np.ndarray) -> bytes:

@@ -6,7 +6,6 @@ IoU with no box that stays before it is above the limit.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from glyphflow.config import DEFAULTS
 from glyphflow.functions.geometry import iou
+from glyphflow.storage import drop, materialise
 
 #: Boxes of a page up to which the fold over arrays is the faster one.
 FOLD = 16
@@ -122,22 +122,19 @@ def suppress_spread(boxes: DataFrame, page: str = "page", limit: float = DEFAULT
     undecided better neighbour stay, and their neighbours go; what is left comes
     to the next round, by way of shared storage.
     """
-    spark = boxes.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared_"))
     pairs = overlapping_pairs(boxes, page, limit)
     ranked = boxes.select(page, "id", "score")
     a, b = (ranked.select(page, F.col("id").alias(n), F.col("score").alias(f"s{n}")) for n in ("a", "b"))
     pairs = pairs.join(a, [page, "a"]).join(b, [page, "b"])
     first = (F.col("sa") > F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") > F.col("b")))
-    edges = pairs.select(page, F.when(first, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("worse")).checkpoint()
-    gone = None
+    edges = pairs.select(page, F.when(first, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("worse"))
+    edges, gone = materialise(edges), None
     while not edges.isEmpty():
         waiting = edges.select(page, F.col("worse").alias("better")).distinct()
-        losing = edges.join(waiting, [page, "better"], "left_anti").select(page, "worse").distinct().checkpoint()
+        losing = materialise(edges.join(waiting, [page, "better"], "left_anti").select(page, "worse").distinct())
         gone = losing if gone is None else gone.union(losing)
         lost = losing.select(page, F.col("worse").alias("better"))
-        edges = edges.join(losing, [page, "worse"], "left_anti").join(lost, [page, "better"], "left_anti")
         # Edges of boxes that stay are settled: their worse ends have just gone.
-        edges = edges.checkpoint()
+        before, edges = edges, materialise(edges.join(losing, [page, "worse"], "left_anti").join(lost, [page, "better"], "left_anti"))
+        drop(before)
     return boxes if gone is None else boxes.join(gone.withColumnRenamed("worse", "id"), [page, "id"], "left_anti").select(*boxes.columns)

@@ -9,6 +9,11 @@ from glyphflow.config import EXTENSIONS
 from glyphflow.functions import geometry as G
 from glyphflow.functions import text as X
 from glyphflow.operators import assembly, ctc, ordering, suppression, tiling
+from glyphflow.operators.characters import character_counts
+from glyphflow.plans import sinks
+from glyphflow.plans.progress import numbered
+from glyphflow.sources.dictionaries import distinct_stripped
+from glyphflow.storage import materialise
 
 # ---- derived tables -------------------------------------------------------------------------------------------
 
@@ -119,12 +124,12 @@ def _round(*names: str) -> list:
 def list_images_filter(spark, sf_dir):
     """Image files by ending, in the order of their names. The order is a report over file names, not over rows of data."""
     names = file_names(spark, sf_dir).where(X.is_image(F.col("path")))
-    ranked = names.repartitionByRange("path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id())
+    # Written once, so that both uses see the same partitions.
+    ranked = materialise(names.repartitionByRange("path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id()))
     within = Window.partitionBy("part").orderBy("path")
-    ranked = ranked.withColumn("r", F.row_number().over(within))
     sizes = ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row per partition
     bases = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return ranked.join(bases, "part").select("page_id", "path", (F.col("base") + F.col("r")).cast("long").alias("place"))
+    return ranked.withColumn("r", F.row_number().over(within)).join(bases, "part").select("page_id", "path", (F.col("base") + F.col("r")).cast("long").alias("place"))
 
 
 @query(
@@ -132,8 +137,8 @@ def list_images_filter(spark, sf_dir):
     f"'output/scans/' || regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', '') || '.png' AS png_path FROM names WHERE {_IMAGE}"
 )
 def output_paths(spark, sf_dir):
-    stem = X.stem(F.col("path"))
-    return file_names(spark, sf_dir).where(X.is_image(F.col("path"))).select("page_id", stem.alias("stem"), F.concat(F.lit("output/scans/"), stem, F.lit(".json")).alias("json_path"), F.concat(F.lit("output/scans/"), stem, F.lit(".png")).alias("png_path"))
+    named = file_names(spark, sf_dir).where(X.is_image(F.col("path"))).select("page_id", sinks.output_paths(F.col("path"), "output/scans").alias("out"))
+    return named.select("page_id", "out.stem", "out.json_path", "out.png_path")
 
 
 _CHARSET = "".join(map(chr, range(0x21, 0x7F)))
@@ -142,8 +147,7 @@ _SET_SQL = "charset AS (SELECT chr(CAST(i AS INT)) AS ch FROM range(33, 127) r(i
 
 
 def _chars(spark, sf_dir) -> DataFrame:
-    split = _read(spark, sf_dir, "documents").select(F.explode(F.split("text", "")).alias("ch"))
-    return split.where("ch <> ''").groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+    return character_counts(_read(spark, sf_dir, "documents"))
 
 
 def _charset(spark) -> DataFrame:
@@ -161,11 +165,13 @@ def char_masked(spark, sf_dir):
     return _chars(spark, sf_dir).join(F.broadcast(_charset(spark)), "ch", "left_anti")
 
 
-@query("SELECT DISTINCT trim(w) AS ch FROM (SELECT unnest(string_split(text, chr(10))) AS w FROM documents) WHERE trim(w) <> '' AND length(trim(w)) < 8")
+_STRIP = r"[\s\x0B\p{Z}\x1C-\x1F\x{85}]+"
+
+
+@query(f"SELECT DISTINCT ch FROM (SELECT regexp_replace(w, '^{_STRIP}|{_STRIP}$', '', 'g') AS ch FROM (SELECT unnest(string_split(text, chr(10))) AS w FROM documents)) WHERE ch <> ''")
 def allowed_set(spark, sf_dir):
-    """The allowed-set scan: stripped lines, no empty ones, each once (short lines of the texts stand for a file)."""
-    lines = _read(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("w")).select(F.trim("w").alias("ch"))
-    return lines.where("ch <> '' and length(ch) < 8").distinct()
+    """The allowed-set scan: stripped lines, no empty ones, each once (lines of the texts stand for a file)."""
+    return distinct_stripped(_read(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("value")))
 
 
 # ---- sizes and tiles -------------------------------------------------------------------------------------------
@@ -240,7 +246,7 @@ def box_gate(spark, sf_dir):
     """The gates on short side, score, and short side after the expansion."""
     side = F.least(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) % 40
     prob = F.col("id") % 101 / 100
-    gated = boxes(spark, sf_dir).where((side >= 3) & (prob >= 0.6) & (side * 1.5 >= 5))
+    gated = boxes(spark, sf_dir).where(G.passes_gates(side, prob, side * 1.5))
     return gated.select("page", "id", F.round(prob, 6).alias("prob"))
 
 
@@ -327,8 +333,7 @@ def rec_batches(spark, sf_dir):
 @query("SELECT user_id AS page, event_id AS id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS i, CAST(count(*) OVER (PARTITION BY user_id) AS BIGINT) AS n FROM events")
 def progress(spark, sf_dir):
     """Place and number of a page's boxes, as a progress line shows them."""
-    w = Window.partitionBy("page")
-    return boxes(spark, sf_dir).select("page", "id", F.row_number().over(w.orderBy("id")).cast("long").alias("i"), F.count(F.lit(1)).over(w).cast("long").alias("n"))
+    return numbered(boxes(spark, sf_dir), "page", "id").select("page", "id", "i", "n")
 
 
 # ---- recognition -----------------------------------------------------------------------------------------------
@@ -386,12 +391,16 @@ def _items(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
 
 @query(f"WITH {_ITEMS} SELECT q.page, CAST(count(i.id) AS INT) AS text_count, coalesce(string_agg(i.text, '|' ORDER BY i.box_idx), '') AS texts, round(coalesce(sum(i.score), 0), 4) AS score_sum, coalesce(CAST(sum(i.angle) AS BIGINT), 0) AS angle_sum, coalesce(CAST(sum(i.p[1][1]) AS BIGINT), 0) AS x_sum FROM (SELECT DISTINCT page FROM quads) q LEFT JOIN items i ON q.page = i.page GROUP BY q.page")
 def assemble(spark, sf_dir):
-    found = assembly.assemble(*_items(spark, sf_dir))
+    return totals(assembly.assemble(*_items(spark, sf_dir)))
+
+
+def totals(results: DataFrame) -> DataFrame:
+    """Totals of each result's items."""
 
     def total(f, zero):
         return F.aggregate("items", zero, lambda t, i: t + f(i))
 
-    return found.select(
+    return results.select(
         "page", "text_count", F.array_join(F.transform("items", lambda i: i["text"]), "|").alias("texts"),
         F.round(total(lambda i: i["score"], F.lit(0.0)), 4).alias("score_sum"),
         total(lambda i: i["angle"].cast("long"), F.lit(0).cast("long")).alias("angle_sum"),

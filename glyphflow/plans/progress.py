@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 R = TypeVar("R")
@@ -20,6 +20,16 @@ def observed(results: DataFrame) -> tuple[DataFrame, Observation]:
     return results.observe(totals, F.count(F.lit(1)).alias("images"), F.coalesce(F.sum("text_count"), F.lit(0)).alias("texts"), empty.alias("empty_images")), totals
 
 
+def progress_line(place: int, number: int, path: str, texts: int) -> str:
+    return f"[{place}/{number}] {path.rsplit('/', 1)[-1]}: {texts} texts"
+
+
+def numbered(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """``rows`` with i, the place in its group from 1, and n, the group's number of rows, as progress lines show them."""
+    own = Window.partitionBy(group)
+    return rows.withColumns({"i": F.row_number().over(own.orderBy(order)).cast("long"), "n": F.count(F.lit(1)).over(own).cast("long")})
+
+
 def watched(spark: SparkSession, action: Callable[[], R], report: Callable[[int, int], None], seconds: float = 1.0) -> R:
     """Runs ``action`` and calls ``report(tasks done, tasks known)`` meanwhile and at its end.
 

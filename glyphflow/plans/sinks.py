@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import escape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphflow.config import DEFAULTS, Settings
@@ -53,29 +53,38 @@ def svg(width: int, height: int, items: list[dict], s: Settings = DEFAULTS) -> s
     return "\n".join([*out, "</svg>"])
 
 
-def check_outputs(results: DataFrame, folder: str) -> None:
-    """Raises Collision; a group's count, not its rows, comes to the driver."""
-    named = results.select("input_path", stem(F.col("input_path")).alias("stem"))
+def output_paths(path: Column, folder: str) -> Column:
+    """struct<stem, json_path, png_path, svg_path> of an input's path."""
+    name = stem(path)
+
+    def place(ending: str) -> Column:
+        return F.concat(F.lit(folder.rstrip("/") + "/"), name, F.lit(f".{ending}")).alias(f"{ending}_path")
+
+    return F.struct(name.alias("stem"), *map(place, ("json", "png", "svg")))
+
+
+def check_outputs(inputs: DataFrame, folder: str, path: str = "input_path") -> None:
+    """Raises Collision; a group's count, not its rows, comes to the driver.  Listed files do, so nothing need be read before."""
+    named = inputs.select(F.col(path).alias("input_path"), output_paths(F.col(path), folder).alias("out")).select("input_path", "out.*")
     twice = named.groupBy("stem").count().where("count > 1").limit(1).collect()
     if twice:
         raise Collision(f"several inputs would be written as {twice[0]['stem']}.json")
-    local = F.regexp_replace("input_path", "^file:/+", "/")
-    over = named.where(local == F.concat(F.lit(folder.rstrip("/") + "/"), "stem", F.lit(".png"))).limit(1).collect()
+    over = named.where(F.regexp_replace("input_path", "^file:/+", "/") == F.col("png_path")).limit(1).collect()
     if over:
         raise Collision(f"{over[0]['input_path']} would be overwritten")
 
 
-def write_files(results: DataFrame, folder: str, images: DataFrame | None = None, show_text: bool = True, s: Settings = DEFAULTS) -> int:
-    """{stem}.json per image, and with ``images`` {stem}.png and, if ``show_text``, {stem}.svg; returns their number.
+def write_files(results: DataFrame, folder: str, show_text: bool = True, s: Settings = DEFAULTS, on_image: Callable[[int, int, str, int], None] | None = None) -> int:
+    """{stem}.json per image, and where results carry their image {stem}.png and, if ``show_text``, {stem}.svg; returns their number.
 
-    Files are written by the tasks through a plain file system, so ``folder`` has
-    to be a shared mount on a cluster.  There is no font here to draw labels with:
-    the PNG has the boxes, the SVG has boxes and labels.
+    ``on_image`` gets place, number of images, path and number of texts of each
+    image, in the order of paths, once all are written; without it only the
+    number comes to the driver.  Files are written by the tasks through a plain
+    file system, so ``folder`` has to be a shared mount on a cluster.  There is
+    no font here to draw labels with: the PNG has the boxes, the SVG has boxes
+    and labels.  See ``check_outputs`` for names that collide.
     """
-    check_outputs(results, folder)
-    rows = results.withColumn("stem", stem(F.col("input_path")))
-    if images is not None:
-        rows = rows.join(images.withColumnRenamed("path", "input_path"), "input_path")
+    rows = results.withColumn("stem", output_paths(F.col("input_path"), folder)["stem"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -93,6 +102,13 @@ def write_files(results: DataFrame, folder: str, images: DataFrame | None = None
                     if show_text:
                         with open(f"{base}.svg", "w", encoding="utf-8") as f:
                             f.write(svg(row["width"], row["height"], row["items"], s))
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
-
-    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays([batch.column(names.index("input_path")), batch.column(names.index("text_count"))], ["path", "texts"])
+
+    written = rows.mapInArrow(write, "path string, texts int")
+    if on_image is None:
+        return written.agg(F.count(F.lit(1))).first()[0]
+    done = sorted(map(tuple, written.collect()))  # names of the files of one folder
+    for place, (path, texts) in enumerate(done, 1):
+        on_image(place, len(done), path, texts)
+    return len(done)

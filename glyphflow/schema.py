@@ -21,6 +21,8 @@ RESULT = T.StructType(
         T.StructField("items", T.ArrayType(ITEM, False), False),
     ]
 )
+#: Results that carry the image, for drawing; see IMAGE.
+RESULT_WITH_PIXELS = T.StructType([*RESULT.fields, T.StructField("height", T.IntegerType(), False), T.StructField("width", T.IntegerType(), False), T.StructField("data", T.BinaryType(), False)])
 IMAGE = T.StructType(
     [
         T.StructField("path", T.StringType(), False),

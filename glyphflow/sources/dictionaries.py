@@ -22,6 +22,11 @@ def character_dictionary(spark: SparkSession, path: str) -> list[str]:
     return ["blank", *(line.strip() for line in lines)]
 
 
+def distinct_stripped(lines: DataFrame, line: str = "value") -> DataFrame:
+    """(ch): the lines, stripped, each once, without empty ones."""
+    return lines.select(strip(F.col(line)).alias("ch")).where("ch <> ''").distinct()
+
+
 def allowed_characters(spark: SparkSession, path: str) -> DataFrame:
-    """(ch): distinct stripped lines that are not empty."""
-    return spark.read.text(path).select(strip(F.col("value")).alias("ch")).where("ch <> ''").distinct()
+    """(ch): distinct stripped lines of a file that are not empty."""
+    return distinct_stripped(spark.read.text(path))

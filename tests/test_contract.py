@@ -2,6 +2,7 @@
 
 import pytest
 
+from glyphflow.plans import kernel_queries  # noqa: F401 (registers its queries)
 from glyphflow.plans.contract import QUERIES, SQL
 
 from .conftest import DATA

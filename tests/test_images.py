@@ -8,6 +8,7 @@ import pytest
 
 from glyphflow.config import Settings
 from glyphflow.functions import raster
+from glyphflow.operators.ctc import decode_numpy
 from glyphflow.plans import cli, sinks
 from glyphflow.plans.engine import EngineConfig, EngineType, TiledEngine, create_engine
 from glyphflow.plans.inference import StubLoader
@@ -131,7 +132,8 @@ def test_inputs():
 def test_drawing_is_a_png(spark, tmp_path):
     items = [{"polygon": [[5, 5], [30, 5], [30, 20], [5, 20]], "score": 0.95, "angle": 0}]
     out = raster.draw_boxes(np.full((40, 50, 3), 255, np.uint8), items)
-    assert out[5, 10].tolist() == [0, 200, 0] and out[12, 15].tolist() == [217, 247, 217] and out[35, 45].tolist() == [255] * 3
+    # Edges and fills are one layer, blended in at 0.15.
+    assert out[5, 10].tolist() == out[12, 15].tolist() == [217, 247, 217] and out[35, 45].tolist() == [255] * 3
     save(tmp_path / "x.png", out)
     (back,) = read_images(spark, str(tmp_path / "x.png")).collect()
     assert np.array_equal(np.frombuffer(back["data"], np.uint8).reshape(40, 50, 3), out)
@@ -183,6 +185,76 @@ def test_progress(spark, pages):
     assert said[-1][0] == said[-1][1] > 0
 
 
+def test_callbacks_of_a_batch(spark, pages):
+    from glyphflow.plans.engine import TwoPhaseEngine
+
+    images, detected, read = read_images(spark, str(pages)), [], []
+    results = TwoPhaseEngine(EngineConfig(StubLoader(), DICT)).run_batch(images, lambda i, p: detected.append((i, p)), lambda i, p: read.append((i, p)))
+    assert detected == read == list(enumerate(sorted(r["path"] for r in images.select("path").collect())))
+    assert results.count() == 4
+
+
+@pytest.mark.parametrize("kind", list(EngineType))
+def test_no_pixels_are_shuffled(spark, pages, kind):
+    """From the images, or from what the first stage wrote, to results with pixels: no exchange at any size."""
+    engine = create_engine(kind, EngineConfig(StubLoader(), DICT))
+    results = engine.transform(read_images(spark, str(pages)), keep_pixels=True)
+    assert "Exchange" not in results._jdf.queryExecution().executedPlan().toString()
+    first = results.where("input_path like '%two.png'").first()
+    assert (first["height"], first["width"], len(first["data"])) == (200, 400, 200 * 400 * 3)
+
+
+def test_tiles_are_tasks(spark, pages):
+    """Tiles are dealt out by image and number: what is shuffled is a tile's pixels, not an image's for each tile."""
+    plan = TiledEngine(EngineConfig(StubLoader(), DICT)).boxes(read_images(spark, str(pages)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [path" in plan and "tile_no" in plan
+
+
+def test_scores_of_rectangles():
+    """Means over the cells of a polygon, against all cells whose centres lie in it or on its outline."""
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        prob = rng.random((40, 50)).astype(np.float32)
+        angle, centre, sides = rng.random() * 3, rng.uniform(12, 28, 2), rng.uniform(6, 18, 2)
+        e, n = np.array([np.cos(angle), np.sin(angle)]), np.array([-np.sin(angle), np.cos(angle)])
+        box = np.floor(np.array([centre + a * e * sides[0] / 2 + b * n * sides[1] / 2 for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))]))
+        rows, first, last = raster.spans(box, 40, 50)
+        mask = np.zeros((40, 50), bool)
+        for y, a, b in zip(rows, first, last):
+            mask[y, a : b + 1] = True
+        want = raster.inside(box, 50, 40)
+        assert abs(raster.box_score(prob, box) - prob[mask].astype(float).mean()) < 1e-9
+        assert (mask ^ want).sum() <= 0.12 * want.sum()
+    assert raster.box_score(np.ones((4, 4), np.float32), np.array([[9, 9], [12, 9], [12, 12], [9, 12]])) == 0
+
+
+def test_decoding_of_batches_equals_columns():
+    rng = np.random.default_rng(1)
+    for mask in (None, np.array([0, 0, -np.inf, 0], np.float32)):
+        pred = rng.random((7, 9, 6)).astype(np.float32)
+        for own, (text, score) in zip(pred, decode_numpy(pred, list("-abcd"), mask)):
+            if mask is not None:
+                own = own + np.concatenate([mask, [-np.inf, -np.inf]])
+            best, letters, sure = own.argmax(axis=1), "", []
+            for t, c in enumerate(best):
+                if c != 0 and c < 5 and (t == 0 or best[t - 1] != c):
+                    letters += "-abcd"[c]
+                    sure.append(float(own[t, c]))
+            assert text == letters and score == pytest.approx(np.mean(sure) if sure else 0)
+    assert decode_numpy(np.zeros((2, 0, 4), np.float32), ["-"], None) == [("", 0.0)] * 2
+    assert decode_numpy(np.zeros((0, 3, 4), np.float32), ["-"], None) == []
+
+
+def test_extra_characters(spark, pages):
+    """A class behind the dictionary gives its character where that is named, with a mask too."""
+    images = read_images(spark, str(pages))
+    for mask in (None, (0.0,) * 3):
+        plain, extra = (
+            {r["input_path"]: "".join(i["text"] for i in r["items"]) for r in TiledEngine(EngineConfig(StubLoader(), ("blank", "a", "b"), mask, chars)).transform(images).collect()} for chars in ((), tuple("cdefg"))
+        )
+        assert sum(map(len, extra.values())) > sum(map(len, plain.values()))
+
+
 def test_unknown_engine():
     with pytest.raises(ValueError):
         create_engine("other", EngineConfig(StubLoader(), DICT))
@@ -201,7 +273,8 @@ def test_command_line(spark, pages, tmp_path, capsys):
     assert list(found) == ["input_path", "text_count", "items"] and found["text_count"] == len(found["items"])
     assert all(set(i["text"]) <= {"a", "f"} for i in found["items"])
     assert json.loads((out / "none.json").read_text())["items"] == []
-    assert "4 of 4 images" in capsys.readouterr().out
+    said = capsys.readouterr().out
+    assert "4 of 4 images" in said and "[3/4] two.png: " in said
     (tmp_path / "empty").mkdir()
     assert cli.main(["ocr", "-i", str(tmp_path / "empty"), "--model-dir", str(models)], StubLoader()) == 1
 
