@@ -5,9 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -16,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from glyphflow.storage import drop, materialise  # noqa: F401 (for the operators)
+
 #: Bytes of text that a Python worker handles at once, so that its memory
 #: doesn't depend on how many rows Spark puts into an Arrow batch.
 SLICE_BYTES = 3 << 20
@@ -25,49 +25,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where that is unset, a session on one machine (as in tests) gets a new
-    folder; any other raises an error, for executors could not see it.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="shared_")
-        spark.sparkContext.setCheckpointDir(at)
-        at = spark.sparkContext.getCheckpointDir()
-    return at
-
-
-def _store(spark: SparkSession, at: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written as Parquet into the shared folder and read back: lineage ends there.
-
-    The table is deleted when the application ends, or by ``drop``.
-    """
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/table_{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    store, path = _store(spark, at)
-    store.deleteOnExit(path)
-    made = spark.read.schema(df.schema).parquet(at)
-    made._table_at = at
-    return made
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table that ``materialise`` made and that no plan still to be run reads."""
-    store, path = _store(df.sparkSession, df._table_at)
-    store.delete(path, True)
-    store.cancelDeleteOnExit(path)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with underscores in front until no column of ``df`` is called so in any case."""
     taken = {c.lower() for c in df.columns}
@@ -120,11 +77,26 @@ def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterato
         at = to
 
 
+def one_thread() -> None:
+    """A task has one core: more threads in its linear algebra would only wait for each other."""
+    try:
+        with open("/proc/self/maps") as f:
+            libraries = {line.split()[-1] for line in f if "openblas" in line}
+    except OSError:
+        return
+    for path in libraries:
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            setter = getattr(ctypes.CDLL(path), name, None)
+            if setter is not None:
+                setter(1)
+
+
 def tidy(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
-    """A task's function that gives freed memory back to the system at its end: a Python worker outlives its tasks."""
+    """A task's function that uses one core, and gives freed memory back to the system at its end: a Python worker outlives its tasks."""
 
     @wraps(run)
     def whole(*args, **kwargs):
+        one_thread()
         try:
             yield from run(*args, **kwargs)
         finally:
