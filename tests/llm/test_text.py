@@ -97,7 +97,7 @@ def test_redaction_of_whole_keys(spark):
 
 @pytest.mark.parametrize(
     ("pattern", "query"),
-    [("abcd", [{"abc", "bcd"}]), ("ab", None), ("abc|xyz", [{"abc"}, {"xyz"}]), ("(abc)?def", [{"def"}]), ("[ab]bc", [{"abc"}, {"bbc"}]), ("[0-9]{4}", None), ("a(bc)+", [{"abc"}]), ("abc|x", None)],
+    [("abcd", [{"abc", "bcd"}]), ("ab", None), ("abc|xyz", [{"abc"}, {"xyz"}]), ("(abc)?def", [{"def"}]), ("[ab]bc", [{"abc"}, {"bbc"}]), ("[0-9]{4}", None), ("a(bc)+", [{"abc"}]), ("abc|x", None), (r"a\x62c\.d", [{"abc", "bc.", "c.d"}]), (r"ab[^x]cde", [{"cde"}]), (r"(?:ab){2}", [{"aba", "bab"}]), (r"^abc", None), (r"abc(?=d)", None), (r"a{0,2}bcd", [{"bcd"}]), (r"ab+cde", [{"cde"}]), (r"[]a]bc", [{"]bc"}, {"abc"}])],
 )
 def test_queries_from_expressions(pattern, query):
     got = trigram_query(pattern)
