@@ -1,7 +1,9 @@
 """The corpus pipeline: quality, near-duplicates, secrets, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
-last return the columns of ``documents``.
+last return the columns of ``documents``, whatever these are called.  Nulls in
+any column, empty texts, repeated rows and empty tables are taken as each stage
+states.
 """
 
 from __future__ import annotations
@@ -18,22 +20,25 @@ from glyphflow.llm.secrets import redact_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity under their language's trusted model is not above its threshold."""
+    """Documents whose perplexity under their language's trusted model is not above its threshold; null and empty texts stay, and all where no document is trusted."""
     return keep_quality(docs, read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near-duplicates: five words, similarity 0.8."""
+    """One row, the one with the smallest id, of each group of near-duplicates: five words, similarity 0.8.
+
+    Rows with a null id, and rows without words, stay; of equal rows one stays.
+    """
     return keep_one(docs, words=5, over=80, under=100)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret replaced by a mark; n_chars follows the text."""
+    """All documents, each secret replaced by a mark; n_chars follows the text, and stays as it is where that is null."""
     return redact_secrets(docs).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast("long"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences of 2048 tokens."""
+    """The pieces of all documents, packed into sequences of 2048 tokens; a null text is its end id alone."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
@@ -43,6 +48,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage keeps is written to shared storage and read by the next one."""
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))
