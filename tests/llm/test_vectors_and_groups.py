@@ -1,13 +1,17 @@
 """Neighbours, near-duplicates of vectors and of documents, components, and the pipeline."""
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from glyphflow.llm import embedding_dedup, near_duplicates, nearest_neighbours
+from glyphflow.llm import embedding_dedup, near_duplicates, nearest_neighbours, quality, secrets
+from glyphflow.llm.common import materialise
 from glyphflow.llm.components import connected_components
 from glyphflow.llm.hyperminhash import band_keys, bands_for, estimate, registers
 
@@ -310,22 +314,95 @@ def test_chi_square():
 # ---- pipeline and queries --------------------------------------------------------------------------------------
 
 
-def test_pipeline_stages(spark):
+def redacted(text):
+    """Every match of every rule replaced by a mark, overlapping ones by one."""
+    found = sorted((m.start(), m.end()) for r in secrets.REDACTED for m in re.finditer(r.pattern, text or "") if len(m[r.group]) >= r.least)
+    out, at = [], 0
+    for a, b in found:
+        if a >= at:
+            out += [text[at:a], "[SECRET]"]
+        at = max(at, b)
+    return text if text is None else "".join([*out, text[at:]])
+
+
+def pieces_by_library(docs):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter()
+    for r in docs:
+        ids = [*library.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        for piece, at in enumerate(range(0, len(ids), 2048)):
+            own = ids[at : at + 2048]
+            want[r["doc_id"], piece, at, len(own), zlib.crc32(np.array(own, "<u4").tobytes())] += 1
+    return want
+
+
+def check_stages(spark, docs, sf_dir):
+    """Each stage, on all that the one before kept, against brute force."""
     import corpus_pipeline as p
 
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
     want = docs.columns
-    before = docs.count()
     for name, stage in p.STAGES[:-1]:
-        docs = stage(spark, docs, DATA)
+        before = docs.collect()
+        docs = stage(spark, docs, sf_dir)
         assert docs.columns == want, name
-        docs.write.mode("overwrite").parquet(f"{spark.conf.get('spark.checkpoint.dir')}/{name}")
-        docs = spark.read.parquet(f"{spark.conf.get('spark.checkpoint.dir')}/{name}")
-    assert 0 < docs.count() < before
-    assert docs.where("n_chars <> length(text)").count() == 0
-    packed = p.STAGES[-1][1](spark, docs, DATA)
-    assert packed.select("doc_id").distinct().count() == docs.count()
-    assert p.run(spark, DATA).count() == packed.count()
+        docs = materialise(docs)
+        rows = docs.collect()
+        if name == "quality":
+            report = quality.quality_report(spark.createDataFrame(before, docs.schema), spark.read.parquet(f"{sf_dir}/labels.parquet")).collect()
+            kept = Counter((r["doc_id"], r["lang"]) for r in report if r["threshold"] is None or not r["smoothed"] > r["threshold"] or r["perplexity"] is None)
+            assert Counter((r["doc_id"], r["lang"]) for r in rows) == kept
+        elif name == "near_duplicates":
+            usable = [(i, (r["doc_id"], r["text"])) for i, r in enumerate(before) if r["doc_id"] is not None and shingles(r["text"], 5)]
+            sets, groups = {i: shingles(t, 5) for i, (_, t) in usable}, Groups()
+            for a in sets:
+                for b in sets:
+                    if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                        groups.join(a, b)
+            members = {}
+            for i, (k, _) in usable:
+                members.setdefault(groups.find(i), []).append(k)
+            alone = Counter((r["doc_id"], r["text"]) for r in before if r["doc_id"] is None or not shingles(r["text"], 5))
+            found = Counter((r["doc_id"], r["text"]) for r in rows)
+            assert all(found[x] == n for x, n in alone.items())
+            assert Counter({k: n for k, n in Counter(k for (k, t), n in found.items() for _ in range(n) if (k, t) not in alone).items()}) == Counter(min(m) for m in members.values())
+        else:
+            assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter((r["doc_id"], redacted(r["text"])) for r in before)
+            assert all(r["n_chars"] == (len(r["text"]) if r["text"] is not None else r["n_chars"]) for r in rows)
+    packed = p.STAGES[-1][1](spark, docs, sf_dir).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == pieces_by_library(docs.collect())
+    places: dict = {}
+    for r in packed:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["piece"], r["ids_crc32"]) for r in p.run(spark, sf_dir).collect()) == sorted((r["doc_id"] is None, r["doc_id"] or 0, r["piece"], r["ids_crc32"]) for r in packed)
+    return docs
+
+
+def test_pipeline_against_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    assert 0 < check_stages(spark, docs, DATA).count() < docs.count()
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls, repeated rows and keys, empty texts, no labels, and no documents at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    key = "token=abcdef12345 and " + " ".join(f"w{i}" for i in range(30))
+    rows = [(1, key, "en", "s", len(key)), (1, key, "en", "s", len(key)), (1, "other words entirely here now", None, None, None), (None, key, "en", "s", 5), (2, None, "en", "s", None), (2, None, "en", "s", None), (3, "", "", "", 0), (4, " \n ", "de", "s", 3), (None, None, None, None, None)]
+    for name, own in (("some", rows), ("none", [])):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(own, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        docs = check_stages(spark, spark.read.parquet(f"{at}/documents.parquet"), at)
+        assert docs.count() == (len(rows) - 1 if own else 0)
+
+
+def test_helpers_of_pipeline_stages():
+    assert redacted("a token=abcdef1 b") == "a [SECRET] b" and redacted(None) is None
 
 
 def test_queries_with_sql(spark, duck):
