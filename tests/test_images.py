@@ -11,11 +11,13 @@ from glyphflow.functions import raster
 from glyphflow.operators.ctc import decode_numpy
 from glyphflow.plans import cli, sinks
 from glyphflow.plans.engine import EngineConfig, EngineType, TiledEngine, create_engine
-from glyphflow.plans.inference import StubLoader
+from glyphflow.plans.inference import OnnxLoader, StubLoader
 from glyphflow.schema import RESULT
 from glyphflow.sources.dictionaries import allowed_characters, character_dictionary
 from glyphflow.sources.images import NoImages, list_images, read_images, unsupported
 
+from . import onnx_files
+
 DICT = ("blank", *"abcdef")
 
 
@@ -255,6 +257,30 @@ def test_extra_characters(spark, pages):
         assert sum(map(len, extra.values())) > sum(map(len, plain.values()))
 
 
+@pytest.mark.parametrize("kind", list(EngineType))
+def test_engines_with_onnx_files(spark, pages, tmp_path, kind):
+    """The real runtime, on files that say what the stand-ins do: the same results, and with a classifier all crops are turned."""
+    pytest.importorskip("onnxruntime")
+    folder = tmp_path / "models"
+    folder.mkdir()
+    (folder / "detector.onnx").write_bytes(onnx_files.detector())
+    (folder / "recogniser.onnx").write_bytes(onnx_files.recogniser())
+    images = read_images(spark, str(pages))
+
+    def results(loader):
+        return {r["input_path"]: r["items"] for r in create_engine(kind, EngineConfig(loader, DICT)).transform(images).collect()}
+
+    want, got = results(StubLoader(orientation=False)), results(OnnxLoader(str(folder), recycle=2))
+    assert sum(map(len, want.values())) == 41 and set(want) == set(got)
+    for path, items in want.items():
+        assert [(i["text"], i["polygon"], i["angle"]) for i in items] == [(i["text"], i["polygon"], i["angle"]) for i in got[path]]
+        assert np.allclose([i["score"] for i in items], [i["score"] for i in got[path]], atol=1e-6)
+    (folder / "classifier.onnx").write_bytes(onnx_files.classifier())
+    assert all(i["angle"] == 1 for items in results(OnnxLoader(str(folder), recycle=3)).values() for i in items)
+    with pytest.raises(Exception, match="detector.onnx"):
+        results(OnnxLoader(str(tmp_path)))
+
+
 def test_unknown_engine():
     with pytest.raises(ValueError):
         create_engine("other", EngineConfig(StubLoader(), DICT))
