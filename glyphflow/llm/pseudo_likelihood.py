@@ -23,55 +23,65 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, runs, slices, tidy
+from .common import grouped, materialise, runs, slices, tidy
 from .window_network import PAD, SIZE, TOKENS, Trainer, log_probabilities, start
 
 #: Tokens that the words without one of their own share.
 SHARED = 64
+#: The most frequent words, whose counts go to where the texts are; the counts of all others meet them by shuffle.
+KNOWN = 1 << 18
 #: A round trains on every STRIDE-th position of every document, each round on others; ROUNDS rounds cover all.
 STRIDE = ROUNDS = 2
 #: Tokens of a shard, about, and the most shards; beyond that many shards these become larger.
-SHARD, SHARDS = 2_500_000, 4096
+SHARD, SHARDS = 5_000_000, 4096
 #: Parameters in a row of what shards send.
 BLOCK = 8192
-#: Words handled at once.
-PART = 400_000
+#: Words handled at once, and different words that a task counts before it sends them on.
+PART, WORDS = 400_000, 2_000_000
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of texts (between ASCII white space, ASCII letters in lower case): 64-bit hashes, shared tokens, and where each text's begin and end."""
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts (between ASCII white space, ASCII letters in lower case).
+
+    Of each different word its 64-bit hash and shared token; each word's number
+    among these; and where each text's words begin and end.
+    """
     cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     offsets = cut.offsets.to_numpy().astype(np.int64)
     coded = cut.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
     offsets = offsets - offsets[0]
     words = coded.dictionary
     if not len(words):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(len(texts) + 1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
     hashed = pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False).view(np.int64)
     ending = pd.util.hash_array(pc.utf8_slice_codeunits(words, -2).to_numpy(zero_copy_only=False).astype(object))
-    real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
-    codes = coded.indices.to_numpy()
+    shared = (TOKENS - SHARED + (ending % SHARED).astype(np.int64)).astype(np.uint16)
+    codes, real = coded.indices.to_numpy(), pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    if real.all():
+        return hashed, shared, codes, offsets
     held = real[codes]
     ends = np.append(0, np.cumsum(held))[offsets]
-    codes = codes[held]
-    return hashed[codes], (TOKENS - SHARED + (ending % SHARED).astype(np.int64)).astype(np.uint16)[codes], ends
+    return hashed[real], shared[real], (np.cumsum(real) - 1)[codes[held]], ends
 
 
 class Vocabulary:
-    """Tokens of words: ``hashes`` are those with a token of their own, by token."""
+    """Tokens of words, and counts of frequent ones: ``hashes``, the most frequent first, and ``counts``."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.token = np.argsort(hashes, kind="stable").astype(np.uint16)
-        self.sorted = hashes[self.token]
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        self.sorted, self.place, self.logs = hashes[order], order, np.log(counts[order])
 
-    def tokens(self, hashes: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    def tokens(self, hashes: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's token, and the logarithm of its count; not a number for words that aren't known."""
         if not len(self.sorted):
-            return shared
+            return shared, np.full(len(hashes), np.nan)
         at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == hashes, self.token[at], shared)
+        known = self.sorted[at] == hashes
+        own = known & (self.place[at] < TOKENS - SHARED)
+        return np.where(own, self.place[at], shared).astype(np.uint16), np.where(known, self.logs[at], np.nan)
 
 
 def _padded(column: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,43 +171,119 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray,
         yield block, total, n
 
 
-def _frequent(rows: DataFrame) -> np.ndarray:
-    """Hashes of the words that get tokens of their own, the most frequent first, the smaller hash of equals."""
+def _dealt(buckets: int, hashes: np.ndarray, *others: np.ndarray) -> pa.RecordBatch:
+    """One row per bucket of hashes, with the hashes and the other columns as bytes: words cost bytes in a shuffle, not rows."""
+    bucket = (hashes.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    some = np.flatnonzero(np.diff(cuts))
+    columns = [[x[cuts[b] : cuts[b + 1]].tobytes() for b in some] for x in (c[order] for c in (hashes, *others))]
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)], ["b", *(f"c{k}" for k in range(len(columns)))])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], *kinds: type) -> Iterator[list[np.ndarray]]:
+    """The columns of each bucket, from rows of ``_dealt`` sorted by bucket."""
+    for table in grouped(batches, 1):
+        yield [np.frombuffer(b"".join(table[f"c{k}"].to_pylist()), kind) for k, kind in enumerate(kinds)]
+
+
+def _buckets(df: DataFrame) -> int:
+    """A bucket's words are a quarter of those of an input partition, whatever the size of the input."""
+    return 4 * max(1, df.rdd.getNumPartitions())
+
+
+def _frequent(rows: DataFrame) -> Vocabulary:
+    """The KNOWN most frequent words of all rows, the most frequent first, the smaller hash of equals."""
+    buckets, most = _buckets(rows), KNOWN
 
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def sent() -> pa.RecordBatch:
+            words, place = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            n = np.bincount(place, np.concatenate([n for _, n in held]), len(words)).astype(np.int64)
+            held.clear()
+            return _dealt(buckets, words, n)
+
         for batch in batches:
             for part in slices(batch, 0):
-                words, n = np.unique(word_hashes(part.column(0))[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], ["h", "n"])
+                hashes, _, codes, _ = words_of(part.column(0))
+                held.append((hashes, np.bincount(codes, minlength=len(hashes))))
+                if sum(len(h) for h, _ in held) > WORDS:
+                    yield sent()
+        if held:
+            yield sent()
+
+    @tidy
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes, n in _gathered(batches, np.int64, np.int64):
+            words, place = np.unique(hashes, return_inverse=True)
+            n = np.bincount(place, n, len(words)).astype(np.int64)
+            if len(n) > most:  # no other word of the bucket can be among the most frequent
+                least = np.partition(n, -most)[-most]
+                above, equal = np.flatnonzero(n > least), np.flatnonzero(n == least)
+                own = np.append(above, equal[: most - len(above)])
+                words, n = words[own], n[own]
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], ["h", "n"])
+
+    sent = rows.select("t").mapInArrow(count, "b int, c0 binary, c1 binary").repartition("b").sortWithinPartitions("b")
+    counted = sent.mapInArrow(total, "h long, n long")
+    found = counted.orderBy(F.desc("n"), "h").limit(most).toArrow()  # bounded
+    return Vocabulary(found["h"].to_numpy(), found["n"].to_numpy())
+
+
+def _rare_shares(tokens: DataFrame) -> DataFrame:
+    """(id, own): over a row's words that aren't known, the sum of the logarithms of their occurrences in all rows."""
+    buckets = _buckets(tokens)
+
+    @tidy
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(words := batch.column(1).flatten()):
+                rows = np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy())
+                yield _dealt(buckets, words.to_numpy(), rows, batch.column(2).flatten().to_numpy())
+
+    @tidy
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes, rows, n in _gathered(batches, np.int64, np.int64, np.int32):
+            _, place = np.unique(hashes, return_inverse=True)
+            total = np.bincount(place, n)[place]
+            some = total > 1  # the logarithm of one occurrence is 0
+            ids, place = np.unique(rows[some], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(place, n[some] * np.log(total[some]), len(ids)).astype(np.float64))], ["id", "own"])
 
-    counted = rows.select("t").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return np.array([r["h"] for r in counted.orderBy(F.desc("n"), "h").limit(TOKENS - SHARED).collect()], np.int64)  # bounded
+    dealt = tokens.select("id", "rare", "many").mapInArrow(deal, "b int, c0 binary, c1 binary, c2 binary").repartition("b").sortWithinPartitions("b")
+    return dealt.mapInArrow(share, "id long, own double").groupBy("id").agg(F.sum("own").alias("own"))
 
 
 def _tokenised(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Per row: its number, k, the tokens as unsigned 16-bit numbers, and hashes and counts of the words that share tokens."""
+    """Per row: its number, k, the tokens as unsigned 16-bit numbers, the logarithms of known words' counts where tokens are shared, summed, and the other words' hashes and numbers."""
+    shared_words = rows.sparkSession.sparkContext.broadcast(vocabulary)  # KNOWN words at most
 
     @tidy
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 36
+        number, vocabulary = TaskContext.get().partitionId() << 36, shared_words.value
         for batch in batches:
             for part in slices(batch, 1):
-                hashes, shared, ends = word_hashes(part.column(1))
-                tokens = vocabulary.tokens(hashes, shared).astype(np.uint16)
-                own, rare, many, held = [], [], [], [0]
-                for a, b in zip(ends, ends[1:]):
-                    own.append(tokens[a:b].tobytes())
-                    words, n = np.unique(hashes[a:b][tokens[a:b] >= TOKENS - SHARED], return_counts=True)
-                    rare.append(words)
-                    many.append(n)
-                    held.append(held[-1] + len(words))
-                held = pa.array(held, pa.int32())
-                lists = [pa.ListArray.from_arrays(held, pa.array(np.concatenate(x).astype(np.int64))) for x in (rare, many)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + part.num_rows)), part.column(0), pa.array(own, pa.binary()), *lists], ["id", "k", "w", "rare", "many"])
+                hashes, shared, codes, ends = words_of(part.column(1))
+                token, logs = vocabulary.tokens(hashes, shared)
+                tokens = token[codes]
+                own = [tokens[a:b].tobytes() for a, b in zip(ends.tolist(), ends[1:].tolist())]
+                places = np.flatnonzero((tokens >= TOKENS - SHARED) & ~np.isnan(logs)[codes])
+                owner = np.searchsorted(ends, places, "right") - 1
+                sums = np.bincount(owner, logs[codes[places]], part.num_rows).astype(np.float64)
+                # Each document's other words, each once, with their number.
+                places = np.flatnonzero(np.isnan(logs)[codes])
+                owner = np.searchsorted(ends, places, "right") - 1
+                pairs, many = np.unique(owner * max(len(hashes), 1) + codes[places], return_counts=True)
+                owner, word = np.divmod(pairs, max(len(hashes), 1))
+                held = pa.array(np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(held, pa.array(x)) for x in (hashes[word], many.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + part.num_rows)), part.column(0), pa.array(own, pa.binary()), pa.array(sums), *lists], ["id", "k", "w", "known", "rare", "many"])
                 number += part.num_rows
 
-    return rows.mapInArrow(tokenise, f"id long, k {dict(rows.dtypes)['k']}, w binary, rare array<long>, many array<long>")
+    return rows.mapInArrow(tokenise, f"id long, k {dict(rows.dtypes)['k']}, w binary, known double, rare array<long>, many array<int>")
 
 
 def _token_counts(tokens: DataFrame) -> np.ndarray:
@@ -225,7 +311,7 @@ def pseudo_likelihood(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     on how the rows lie in partitions.
     """
     rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    tokens = materialise(_tokenised(rows, Vocabulary(_frequent(rows))))
+    tokens = materialise(_tokenised(rows, _frequent(rows)))
     counts = _token_counts(tokens)
     model = df.sparkSession.sparkContext.broadcast((train(tokens, counts), np.log(np.maximum(counts, 1))))
 
@@ -242,14 +328,11 @@ def pseudo_likelihood(df: DataFrame, key: str = "doc_id", text: str = "text") ->
                 held = np.append(0, np.cumsum(shared))
                 at = np.cumsum(sizes)
                 columns = [pa.array(sizes), *(pa.array(x[at] - x[at - sizes]) for x in (ends, of, held))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], *columns], ["id", "k", "n_tokens", "net", "shares", "shared"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], part.column(3), *columns], ["id", "k", "known", "n_tokens", "net", "shares", "shared"])
 
     kind = dict(rows.dtypes)["k"]
-    scored = tokens.select("id", "k", "w").mapInArrow(score, f"id long, k {kind}, n_tokens long, net double, shares double, shared long")
-    words = tokens.select("id", F.explode(F.arrays_zip("rare", "many")).alias("x")).select("id", F.col("x.rare").alias("h"), F.col("x.many").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("h"))
-    known = words.withColumn("own", F.col("n") * F.log(total.cast("double"))).groupBy("id").agg(F.sum("own").alias("own"))
-    found = scored.join(known, "id", "left").withColumn("shares", F.col("shares") + F.coalesce("own", F.lit(0.0)))
+    scored = tokens.select("id", "k", "w", "known").mapInArrow(score, f"id long, k {kind}, known double, n_tokens long, net double, shares double, shared long")
+    found = scored.join(_rare_shares(tokens), "id", "left").withColumn("shares", F.col("shares") + F.col("known") + F.coalesce("own", F.lit(0.0)))
     sum_of = F.col("net") + F.col("shares")
     return found.select(
         F.col("k").alias(key), "n_tokens", sum_of.alias("log_likelihood"),

@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import numpy as np
 
-GROUPS, SIDE, HIDDEN = 64, 64, 32
+GROUPS, SIDE, HIDDEN = 64, 64, 24
 TOKENS = GROUPS * SIDE
 PLACES = (-2, -1, 1, 2)
+#: What is above this would overflow as a power of e in single precision.
+MOST = 80
 #: The token outside a document.
 PAD = TOKENS
 _SHAPES = ((len(PLACES), TOKENS + 1, HIDDEN), (HIDDEN,), (HIDDEN, GROUPS), (GROUPS,), (GROUPS, HIDDEN), (HIDDEN, SIDE), (GROUPS, SIDE))
@@ -47,13 +49,12 @@ def neighbours(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    """In place; returns what was taken off and the logarithm of the sums, together."""
-    top = logits.max(axis=1, keepdims=True)
-    logits -= top
+    """In place; returns the logarithms of the sums.  Inputs count as MOST at most, far above what weights give."""
+    np.minimum(logits, MOST, out=logits)
     np.exp(logits, out=logits)
-    total = logits.sum(axis=1, keepdims=True)
-    logits /= total
-    return (top + np.log(total))[:, 0]
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    logits *= (1 / total)[:, None]
+    return np.log(total)
 
 
 def _forward(params: list[np.ndarray], around: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -63,23 +64,28 @@ def _forward(params: list[np.ndarray], around: np.ndarray, group: np.ndarray) ->
         h += tables[place][around[place]]
     h += hidden
     np.tanh(h, out=h)
-    gated = h * gates[group]
+    gate = gates[group]
+    gated = h * gate
     first, second = h @ weights, gated @ within
     first += bias
     second += inner[group]
-    return h, gated, first, second
+    return h, gate, gated, first, second
 
 
 def log_probabilities(flat: np.ndarray, padded: np.ndarray, at: np.ndarray, batch: int = 4096) -> np.ndarray:
     """log p(token | neighbours) at the places ``at``."""
-    params, result = views(flat), np.empty(len(at), np.float64)
+    params, result, ones = views(flat), np.empty(len(at), np.float64), np.ones(SIDE, flat.dtype)
     for k in range(0, len(at), batch):
         own = at[k : k + batch]
         group, member = np.divmod(padded[own].astype(np.int64), SIDE)
-        _, _, first, second = _forward(params, neighbours(padded, own), group)
+        _, _, _, first, second = _forward(params, neighbours(padded, own), group)
         rows = np.arange(len(own))
         hit = first[rows, group].astype(np.float64) + second[rows, member]
-        result[k : k + batch] = hit - _softmax(first) - _softmax(second)
+        for logits in (first, second):
+            np.minimum(logits, MOST, out=logits)
+            np.exp(logits, out=logits)
+            hit -= np.log(logits @ ones)
+        result[k : k + batch] = hit
     return result
 
 
@@ -96,18 +102,20 @@ def gradient(params: list[np.ndarray], around: np.ndarray, token: np.ndarray) ->
     n = len(token)
     group, member = np.divmod(token.astype(np.int64), SIDE)
     _, _, weights, _, gates, within, _ = params
-    h, gated, first, second = _forward(params, around, group)
+    h, opened, gated, first, second = _forward(params, around, group)
     _softmax(first), _softmax(second)
     rows = np.arange(n)
     first[rows, group] -= 1
     second[rows, member] -= 1
-    first /= n
-    second /= n
+    first *= 1 / n
+    second *= 1 / n
     back = second @ within.T
     seen, sums = _summed(group, np.concatenate([back * h, second], axis=1))
     gate, inner = np.zeros_like(gates), np.zeros((GROUPS, SIDE), gates.dtype)
     gate[seen], inner[seen] = sums[:, :HIDDEN], sums[:, HIDDEN:]
-    back = (first @ weights.T + back * gates[group]) * (1 - h * h)
+    back *= opened
+    back += first @ weights.T
+    back *= 1 - h * h
     tables = [_summed(own, back) for own in around]
     return tables, [back.sum(axis=0), h.T @ first, first.sum(axis=0), gate, gated.T @ second, inner]
 
