@@ -26,8 +26,8 @@ from .common import cosines, dimension, materialise, matrix, runs, spread, tidy
 from .components import connected_components
 from .kmeans import kmeans, nearest
 
-#: Vectors that the codebooks are fitted on, those with the smallest hashes; all vectors are indexed.
-SAMPLE = 65_536
+#: Vectors that lists and codes are fitted on, those with the smallest hashes; all vectors are indexed.
+SAMPLE, CODE_SAMPLE = 65_536, 16_384
 #: Standard deviations that a difference of vectors may have along one direction.
 SURE = 5.0
 #: Stored vectors of a list that a task holds, and so about what a list should have.
@@ -46,8 +46,8 @@ class Quantiser:
     def fit(cls, x: np.ndarray, lists: int, cosine: float, exact: bool) -> Quantiser:
         """``x``: unit vectors, their dimension padded to a multiple of SUBSPACES."""
         centres = kmeans(x, lists)
-        residual = x - centres[nearest(x, centres)]
-        parts = residual.reshape(len(x), SUBSPACES, -1)
+        residual = x[:CODE_SAMPLE] - centres[nearest(x[:CODE_SAMPLE], centres)]
+        parts = residual.reshape(len(residual), SUBSPACES, -1)
         books = np.stack([kmeans(np.ascontiguousarray(parts[:, s]), CODES, 6) for s in range(SUBSPACES)])
         reach = float(np.sqrt(2 - 2 * cosine))
         return cls(centres, books, reach, reach if exact else reach * min(1.0, SURE / x.shape[1] ** 0.5))

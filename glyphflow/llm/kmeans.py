@@ -5,8 +5,12 @@ from __future__ import annotations
 import numpy as np
 
 
-def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.argmin((centres * centres).sum(axis=1) - 2 * (x @ centres.T), axis=1)
+def nearest(x: np.ndarray, centres: np.ndarray, block: int = 4096) -> np.ndarray:
+    """The number of each row's nearest centre; ``block`` rows are compared at once."""
+    squares, out = (centres * centres).sum(axis=1), np.empty(len(x), np.int64)
+    for at in range(0, len(x), block):
+        out[at : at + block] = np.argmin(squares - 2 * (x[at : at + block] @ centres.T), axis=1)
+    return out
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
