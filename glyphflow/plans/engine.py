@@ -17,7 +17,7 @@ from glyphflow.functions import raster
 from glyphflow.operators.ctc import decode_numpy, with_extra
 from glyphflow.operators.ordering import order_rows, reading_order
 from glyphflow.operators.suppression import suppress, suppress_rows
-from glyphflow.operators.tiling import keep_core, with_tiles
+from glyphflow.operators.tiling import keep_core
 from glyphflow.plans.inference import Models, loaded, release
 from glyphflow.schema import BOX, RESULT, RESULT_WITH_PIXELS
 from glyphflow.storage import materialise
