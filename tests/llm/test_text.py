@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from glyphflow.llm import kneser_ney as K
-from glyphflow.llm import pii, pseudo_likelihood, quality, secrets, window_network
+from glyphflow.llm import pii, pseudo_likelihood, quality, secrets, sql, window_network
 from glyphflow.llm.trigrams import trigram_query
 
 from ..conftest import DATA
@@ -211,6 +211,17 @@ def test_personal_data_report(spark, odd, nothing):
     assert pii.personal_data_report(odd).count() == odd.count() and pii.personal_data_report(nothing).count() == 0
 
 
+def test_plain_matches_equal_sql(spark, duck):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = ["a@b.co x@y..z 1.2.3.4 256.1.1.1 1.2.3.4.5 +1 (555) 123-4567 4111 1111 1111 1111 é🙂 a@b.c.d", "0000000000000000 4111-1111 1111-1112", "x 4111 1111 1111 1111 y", "", "+123456789 +1-2 0.0.0.0"]
+    duck.register("own", documents(spark, list(enumerate(texts))).toPandas())
+    for df, table in ((docs, "documents"), (documents(spark, list(enumerate(texts))), "own")):
+        got = pii.personal_data_report(df).toPandas().drop(columns=["spans", "n_added", "n_spans"])
+        want = duck.sql(sql.personal_data_base(table)).df()
+        assert sorted(got[sorted(got)].astype(str).values.tolist()) == sorted(want[sorted(got)].astype(str).values.tolist())
+    assert (got[["n_email", "n_ip", "n_card", "n_phone"]].sum() > 0).all()
+
+
 # ---- quality -------------------------------------------------------------------------------------------------
 
 
@@ -453,15 +464,24 @@ def test_document_sums_by_hand(spark, monkeypatch):
     df = documents(spark, list(enumerate(texts)))
     held = {}
     frequent = pseudo_likelihood._frequent
-    monkeypatch.setattr(pseudo_likelihood, "_frequent", lambda rows: held.setdefault("own", frequent(rows)[:40]))
+
+    def few(rows):
+        """40 words with tokens of their own, 30 more that are known."""
+        words = frequent(rows)
+        order = np.argsort(words.place)[:70]
+        out = pseudo_likelihood.Vocabulary(words.sorted[order], np.exp(words.logs[order]))
+        out.place = np.where(out.place < 40, out.place, 1 << 20)
+        return held.setdefault("own", out)
+
+    monkeypatch.setattr(pseudo_likelihood, "_frequent", few)
     real = pseudo_likelihood.train
     monkeypatch.setattr(pseudo_likelihood, "train", lambda tokens, counts: held.setdefault("flat", real(tokens, counts)))
     found = {r["doc_id"]: r for r in pseudo_likelihood.pseudo_likelihood(df).collect()}
     import pyarrow as pa
 
     all_words = sorted({w for t in texts if t for w in t.split()})
-    hashes, shared, _ = pseudo_likelihood.word_hashes(pa.array(all_words))
-    token = dict(zip(all_words, pseudo_likelihood.Vocabulary(held["own"]).tokens(hashes, shared).tolist()))
+    hashes, shared, codes, _ = pseudo_likelihood.words_of(pa.array(all_words))
+    token = dict(zip(all_words, held["own"].tokens(hashes, shared)[0][codes].tolist()))
     n = {}
     for t in texts:
         for w in (t or "").split():

@@ -286,6 +286,18 @@ def test_the_stop_spares_most_vectors():
     assert hits / 250 >= 0.9 and verified / 50 / 30_000 < 0.35
 
 
+def test_recall_of_the_query(spark, duck):
+    """The contract query against exact SQL on a driver's table: same columns, scores to 1e-9, recall of 0.9 or more."""
+    from glyphflow.llm import queries, sql
+
+    got = queries.op1_nearest_neighbours(spark, DATA).toPandas()
+    want = duck.sql(sql.nearest_neighbours(5, 50)).df()
+    assert sorted(got) == sorted(want) and got[["query_id", "rank"]].drop_duplicates().shape == got[["query_id", "rank"]].shape
+    both = got.merge(want, on=["query_id", "vec_id"])
+    assert len(got) == len(want) and len(both) / len(want) >= 0.9
+    assert (both["score_x"] - both["score_y"]).abs().max() < 1e-9
+
+
 def test_cells_and_trees():
     rng = np.random.default_rng(9)
     points = rng.standard_normal((3000, nearest_neighbours.PROJECTED))
