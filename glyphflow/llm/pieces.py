@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .bpe import PairTable
 
@@ -44,6 +46,15 @@ class Pieces:
         found = [(self.id[p[:k]], self.id[p[k:]], self.rank[p], i) for p, i in self.id.items() for k in range(1, len(p)) if p[:k] in self.id and p[k:] in self.id]
         return PairTable(*zip(*found, strict=True))
 
+    def without_mark(self) -> bytes:
+        """The vocabulary as the library reads it, less the mark that it would put in front of a text."""
+        from sentencepiece import sentencepiece_model_pb2
+
+        with open(self.path, "rb") as f:
+            model = sentencepiece_model_pb2.ModelProto.FromString(f.read())
+        model.normalizer_spec.add_dummy_prefix = False
+        return model.SerializeToString()
+
     def byte_ids(self, char: str) -> list[int]:
         return [self.byte_id[b] for b in char.encode()]
 
@@ -57,6 +68,54 @@ def runs(text: str) -> list[str]:
     return RUN.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def irregular(words: list[str]) -> np.ndarray:
+def irregular(chunks: pa.Array) -> np.ndarray:
     """Chunks that cannot stand for a run of their own: empty ones (a space follows a space) and those ending with a mark."""
-    return np.fromiter((not w or w[-1] == SPACE for w in words), bool, len(words))
+    return pc.or_(pc.equal(chunks, ""), pc.ends_with(chunks, SPACE)).to_numpy(zero_copy_only=False)
+
+
+def code_points(chunks: pa.Array) -> np.ndarray:
+    """The code points of all chunks, one after the other."""
+    ends = np.frombuffer(chunks.buffers()[1], np.int32, len(chunks) + 1, chunks.offset * 4)
+    data = (chunks.buffers()[2] or pa.py_buffer(b"")).to_pybytes()[ends[0] : ends[-1]]
+    return np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
+
+
+def marked(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all chunks, each with the mark in front, and each one's number of them."""
+    lengths = pc.utf8_length(chunks).to_numpy().astype(np.int64) + 1
+    points = np.full(lengths.sum(), ord(SPACE), np.uint32)
+    inside = np.ones(len(points), bool)
+    inside[np.cumsum(lengths) - lengths] = False
+    points[inside] = code_points(chunks)
+    return points, lengths
+
+
+class Crossings:
+    """Which neighbouring characters stand together in some piece; no merge joins any others."""
+
+    BITS = 20
+
+    def __init__(self, pieces: Pieces):
+        self.table = np.zeros(1 << self.BITS, bool)
+        pairs = sorted({p[i : i + 2] for p in pieces.id for i in range(len(p) - 1)})
+        points = np.frombuffer("".join(pairs).encode("utf-32-le"), np.uint32).reshape(-1, 2)
+        self.table[self._place(points[:, 0], points[:, 1])] = True
+
+    def _place(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Pairs that fall on one place count as joined if either is: a cut too few does no harm."""
+        return (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(32 - self.BITS)
+
+    def begins(self, points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Where parts begin that merges cannot leave, in texts of ``lengths`` one after the other."""
+        out = np.ones(len(points), bool)
+        out[1:] = ~self.table[self._place(points[:-1], points[1:])]
+        out[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+        return out
+
+
+def strings(points: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """Texts that begin at ``begins``, from code points."""
+    size = 1 + (points >= 0x80).astype(np.int32) + (points >= 0x800) + (points >= 0x10000)
+    offsets = np.append(0, np.cumsum(size))[np.append(np.flatnonzero(begins), len(points))].astype(np.int32)
+    data = points.tobytes().decode("utf-32-le").encode()
+    return pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])

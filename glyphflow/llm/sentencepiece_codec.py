@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding by a score-ordered agenda of adjacent symbol pairs.
 
-For merge-type vocabularies.  Every distinct pre-token of an Arrow batch goes
-through the agenda once; the ``sentencepiece`` library then encodes the same
-pre-tokens in one call, and where it differs its ids stand (``corrected``
-counts those).  Nothing is shuffled.
+For merge-type vocabularies.  Pre-tokens are cut where no piece holds both
+neighbouring characters, so that no merge could cross; every different part of
+an Arrow batch goes through the agenda once.  The ``sentencepiece`` library then
+encodes the same parts in one call, and where it differs its ids stand
+(``corrected`` counts those).  Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -20,91 +21,113 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, kept, slices, tidy
-from .pieces import SPACE, Pieces, irregular, runs
+from .common import chunks, kept, ragged, slices, tidy
+from .pieces import SPACE, Crossings, Pieces, irregular, marked, runs, strings
 
-#: Pre-tokens that a worker remembers, and the longest one that it does.
-MEMORY, LONG = 500_000, 200
+#: Half of the pre-tokens that a worker remembers, and the longest one that it does.
+MEMORY, LONG = 600_000, 100
 
 
 class Codec:
     def __init__(self, path: str, checked: bool = True):
         self.pieces = Pieces(path)
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, str] = {}
+        self.past: dict[str, str] = {}
         self.corrected = 0
         self.library = None
         if checked:
             import sentencepiece
 
-            self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.library = sentencepiece.SentencePieceProcessor(model_proto=self.pieces.without_mark())
+        self.crossings = Crossings(self.pieces)
         rank = self.pieces.rank
         self.rank = rank.get
         self.spoken = [t.replace(SPACE, " ") for t in self.pieces.text]
-
-    def agenda(self, symbols: list[str]) -> list[str]:
-        """Merge by score: a heap of the adjacent pairs, (rank, place, left, right); an entry whose symbols have changed since is passed over."""
-        rank, end = self.rank, len(symbols)
-        heap = [(r, i, a, b) for i, (a, b, r) in enumerate(zip(symbols, symbols[1:], map(rank, map(add, symbols, symbols[1:])))) if r is not None]
+        self.numbers = [*map(str, range(len(self.pieces.text)))]
+        self.bytes = frozenset(self.pieces.byte_of)
+
+    def agenda(self, run: str) -> list[str]:
+        """The pieces of a run, merged by score: a heap of adjacent pairs by rank and place.
+
+        ``of`` has the rank of the pair that begins at a place now; a pair that
+        comes up with another rank has changed since and is passed over.
+        """
+        rank, symbols, end = self.rank, [*run], len(run)
+        bits = 20 if end < 1 << 20 else end.bit_length()
+        mask = (1 << bits) - 1
+        of = [*map(rank, map(add, run, run[1:])), None]
+        heap = [r << bits | i for i, r in enumerate(of) if r is not None]
         heapify(heap)
-        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        after, before = [*range(1, end + 1)], [*range(-1, end)]
         while heap:
-            _, i, a, b = heappop(heap)
-            j = after[i]
-            if symbols[i] != a or j == end or symbols[j] != b:
+            low = heappop(heap)
+            i = low & mask
+            if of[i] != low >> bits:
                 continue
-            merged, symbols[j] = a + b, ""
-            symbols[i] = merged
-            k, h = after[j], before[i]
-            after[i] = k
-            if k < end:
-                before[k] = i
-                if (r := rank(merged + symbols[k])) is not None:
-                    heappush(heap, (r, i, merged, symbols[k]))
-            if h >= 0 and (r := rank(symbols[h] + merged)) is not None:
-                heappush(heap, (r, h, symbols[h], merged))
-        return [s for s in symbols if s]
+            j = after[i]
+            symbols[i] = merged = symbols[i] + symbols[j]
+            symbols[j] = of[j] = None
+            after[i] = k = after[j]
+            before[k] = i
+            if k < end and (r := rank(merged + symbols[k])) is not None:
+                of[i] = r
+                heappush(heap, r << bits | i)
+            else:
+                of[i] = None
+            if i:
+                h = before[i]
+                of[h] = r = rank(symbols[h] + merged)
+                if r is not None:
+                    heappush(heap, r << bits | h)
+        return [s for s in symbols if s is not None]
 
     def encode_run(self, run: str) -> list[int]:
         """Ids of a text whose spaces are marks already."""
-        out: list[int] = []
-        ids = self.pieces.id
-        for s in self.agenda(list(run)):
-            i = ids.get(s)
-            if i is None:
-                out += self.pieces.byte_ids(s)
-            else:
-                out.append(i)
-        return out
+        ids = [*map(self.pieces.id.get, found := self.agenda(run))]
+        if None not in ids:
+            return ids
+        return [k for s, i in zip(found, ids, strict=True) for k in (self.pieces.byte_ids(s) if i is None else (i,))]
 
-    def encode_runs(self, words: list[str]) -> list[tuple[int, str, str]]:
+    def encode_runs(self, words: list[str]) -> tuple[list[int], list[str], list[str]]:
         """Of each run: the number of ids, the ids joined by commas, their text with the leading space."""
-        known = self.known
-        out = [known.get(w) for w in words]
-        miss = [i for i, found in enumerate(out) if found is None]
+        number = self.numbers.__getitem__
+        joined = [*map(self.known.get, words)]
+        spoken: list[str] = [w.replace(SPACE, " ") for w in words]
+        miss = [i for i, found in enumerate(joined) if found is None]
+        if miss and self.past:
+            for i in miss:
+                joined[i] = self.past.get(words[i])
+            self._remember(words, joined, [i for i in miss if joined[i] is not None])
+            miss = [i for i in miss if joined[i] is None]
         if miss:
             made = [self.encode_run(words[i]) for i in miss]
             if self.library is not None:
-                # The library puts a mark in front by itself, so only runs with one are asked for;
-                # the mark alone would be an empty text, for which it has no ids.
-                asked = [k for k, i in enumerate(miss) if words[i][0] == SPACE != words[i]]
-                for k, ids in zip(asked, self.library.encode([words[miss[k]][1:].replace(SPACE, " ") for k in asked], num_threads=1), strict=True):
+                for k, ids in enumerate(self.library.encode([words[i] for i in miss], num_threads=1)):
                     if ids != made[k]:
                         self.corrected += 1
                         made[k] = ids
+            same = []
             for i, ids in zip(miss, made, strict=True):
-                out[i] = (len(ids), ",".join(map(str, ids)), self.pieces_text(ids))
-            if len(known) > MEMORY:
-                known.clear()
-            known.update((words[i], out[i]) for i in miss if len(words[i]) <= LONG)
-        return out
+                joined[i], text = ",".join(map(number, ids)), self.pieces_text(ids)
+                if text == spoken[i]:
+                    same.append(i)
+                spoken[i] = text
+            self._remember(words, joined, same)
+        return [ids.count(",") + 1 for ids in joined], joined, spoken
+
+    def _remember(self, words: list[str], joined: list[str], rows: list[int]) -> None:
+        """Keep the ids of runs that decode to their own text; what wasn't met since MEMORY others were is forgotten."""
+        if len(self.known) + len(rows) > MEMORY:
+            self.past, self.known = self.known, {}
+        self.known.update((words[i], joined[i]) for i in rows if len(words[i]) <= LONG)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.encode_runs(runs(text)) for i in ids.split(",")]
+        return [int(i) for ids in self.encode_runs(runs(text))[1] for i in ids.split(",")]
 
     def pieces_text(self, ids: list[int]) -> str:
         """Text of ids, with the leading space."""
         p, out, held = self.pieces, [], bytearray()
-        if p.byte_of.keys().isdisjoint(ids):
+        if self.bytes.isdisjoint(ids):
             return "".join(map(self.spoken.__getitem__, ids))
         for i in ids:
             if i in p.byte_of:
@@ -124,19 +147,26 @@ class Codec:
     def documents(self, texts: pa.Array) -> tuple[np.ndarray, pa.ListArray, pa.Array]:
         """Number of ids, the ids as text joined by commas, and the decoded text of each document."""
         offsets, codes, distinct = chunks(texts)
-        words = distinct.to_pylist()
-        encoded = self.encode_runs([SPACE + w for w in words])
-        sizes = np.fromiter((e[0] for e in encoded), np.int64, len(words))
-        ends = np.append(0, np.cumsum(sizes[codes]))
-        total = ends[offsets[1:]] - ends[offsets[:-1]]
-        rows = pa.array(offsets.astype(np.int32))
-
-        def joined(of: list[str], between: str) -> list:
-            return pc.binary_join(pa.ListArray.from_arrays(rows, pa.array(of, pa.string()).take(pa.array(codes))), between).to_pylist()
-
-        ids = joined([e[1] for e in encoded], ",")
-        back = [t[1:] for t in joined([e[2] for e in encoded], "")]
-        odd = irregular(words)
+        points, lengths = marked(distinct)
+        begins = self.crossings.begins(points, lengths)
+        parts = strings(points, begins).dictionary_encode()
+        held = np.append(0, np.cumsum(begins))
+        ends = np.cumsum(lengths)
+        first, many = held[ends - lengths], held[ends] - held[ends - lengths]
+        sizes, joined, spoken = self.encode_runs(parts.dictionary.to_pylist())
+        # The parts of every text, by number.
+        own = parts.indices.to_numpy()[ragged(first[codes], many[codes])]
+        at = np.append(0, np.cumsum(many[codes]))[offsets]
+        ends = np.append(0, np.cumsum(np.array(sizes, np.int64)[own]))
+        total = ends[at[1:]] - ends[at[:-1]]
+        rows = pa.array(at.astype(np.int32))
+
+        def together(of: list[str], between: str) -> list:
+            return pc.binary_join(pa.ListArray.from_arrays(rows, pa.array(of, pa.string()).take(pa.array(own))), between).to_pylist()
+
+        ids = together(joined, ",")
+        back = [t[1:] for t in together(spoken, "")]
+        odd = irregular(distinct)
         if odd.any():
             held = np.append(0, np.cumsum(odd[codes]))
             for i in np.flatnonzero(held[offsets[1:]] > held[offsets[:-1]]):

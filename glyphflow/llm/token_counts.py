@@ -17,14 +17,11 @@ from pyspark.sql import functions as F
 
 from .bpe import merge_ragged
 from .common import chunks, kept, slices, tidy
-from .pieces import SPACE, Pieces, irregular, runs
-
-#: Pre-tokens that a worker remembers, and the longest one that it does.
-MEMORY, LONG = 600_000, 200
+from .pieces import Pieces, irregular, marked, runs
 
 
 class Counter:
-    """Counts tokens with one vocabulary; remembers counts of short pre-tokens up to a bound."""
+    """Counts tokens with one vocabulary."""
 
     def __init__(self, path: str):
         self.pieces = Pieces(path)
@@ -34,45 +31,30 @@ class Counter:
         for p, i in self.pieces.id.items():
             if len(p) == 1:
                 self.char[ord(p)] = i
-        self.known: dict[str, int] = {}
 
-    def merged(self, words: list[str]) -> np.ndarray:
-        """Tokens of each pre-token; a character outside the vocabulary counts as its UTF-8 bytes."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    def merged(self, points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Tokens of each pre-token, from their code points; a character outside the vocabulary counts as its UTF-8 bytes."""
         ids = self.char[np.minimum(points, len(self.char) - 1)]
-        owner = np.repeat(np.arange(len(words)), lengths)
+        owner = np.repeat(np.arange(len(lengths)), lengths)
         lost = ids < 0
         size = 1 + (points[lost] >= 0x80) + (points[lost] >= 0x800) + (points[lost] >= 0x10000)
-        extra = np.bincount(owner[lost], weights=size - 1, minlength=len(words)).astype(np.int64)
+        extra = np.bincount(owner[lost], weights=size - 1, minlength=len(lengths)).astype(np.int64)
         return merge_ragged(ids, lengths, self.pairs)[1] + extra
 
-    def counts(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        found = [known.get(w, -1) for w in words]
-        out = np.array(found, np.int64)
-        miss = np.flatnonzero(out < 0)
-        if len(miss):
-            out[miss] = self.merged(new := [words[i] for i in miss])
-            if len(known) > MEMORY:
-                known.clear()
-            known.update((w, n) for w, n in zip(new, out[miss].tolist(), strict=True) if len(w) <= LONG)
-        return out
-
     def documents(self, texts: pa.Array) -> np.ndarray:
         offsets, codes, distinct = chunks(texts)
-        words = distinct.to_pylist()
-        odd = irregular(words)
         total = np.zeros(len(texts), np.int64)
-        if len(codes):
-            per_word = self.counts([SPACE + w for w in words])
-            ends = np.append(0, np.cumsum(per_word[codes]))
-            total = ends[offsets[1:]] - ends[offsets[:-1]]
-            if odd.any():
-                held = np.append(0, np.cumsum(odd[codes]))
-                for i in np.flatnonzero(held[offsets[1:]] > held[offsets[:-1]]):
-                    cut = runs(texts[i].as_py())
-                    total[i] = int(self.counts(cut).sum()) if cut else 0
+        if not len(codes):
+            return total
+        ends = np.append(0, np.cumsum(self.merged(*marked(distinct))[codes]))
+        total = ends[offsets[1:]] - ends[offsets[:-1]]
+        odd = irregular(distinct)
+        if odd.any():
+            held = np.append(0, np.cumsum(odd[codes]))
+            for i in np.flatnonzero(held[offsets[1:]] > held[offsets[:-1]]):
+                cut = runs(texts[i].as_py())
+                own = np.frombuffer("".join(cut).encode("utf-32-le"), np.uint32)
+                total[i] = int(self.merged(own, np.fromiter(map(len, cut), np.int64, len(cut))).sum())
         return total
 
 

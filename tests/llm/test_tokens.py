@@ -6,6 +6,8 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -16,6 +18,7 @@ from glyphflow.llm.bpe import PairTable, agenda, merge_ragged
 from glyphflow.llm.packing import pack_documents, plan_bins
 from glyphflow.llm.sentencepiece_codec import Codec, sentencepiece_decode, sentencepiece_digests, sentencepiece_encode
 from glyphflow.llm.token_counts import count_tokens
+from glyphflow.llm.word_tokenizer import WordTokenizer
 
 PIECE, WORD = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -71,6 +74,32 @@ def test_codec_on_any_text(text):
     except NameError:
         codec, library = _codec = Codec(PIECE, checked=False), sentencepiece.SentencePieceProcessor(model_file=PIECE)
     assert codec.encode(text) == library.encode(text) and codec.decode(library.encode(text)) == library.decode(library.encode(text))
+    total, ids, back = codec.documents(pa.array([text, "", text + " x"]))
+    for i, t in enumerate((text, "", text + " x")):
+        want = library.encode(t)
+        assert (total[i], ids[i], back[i]) == (len(want), ",".join(map(str, want)), library.decode(want))
+
+
+def test_every_document_against_the_library(spark, library):
+    """Counts, ids and texts of a driver's whole table, without any correction by the library."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    counts = {r["doc_id"]: r["n_tokens"] for r in count_tokens(docs, PIECE).collect()}
+    for r in sentencepiece_encode(docs, PIECE, checked=False).collect():
+        ids = library.encode(texts[r["doc_id"]])
+        assert r["ids"] == ids and r["decoded"] == library.decode(ids) and counts[r["doc_id"]] == len(ids)
+
+
+def test_every_chunk_against_the_library():
+    """All different chunks of a table, and odd ones, by arrays and by the tokenizers library."""
+    tokens = WordTokenizer(WORD)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    words = sorted({w for t in texts if t for w in t.split(" ")} | {"", "a", "A1b2,,c\n\tD..e", "ÀÉÞßÿ", "×", "÷x", "Ã", "x×y", "it's", "'", "<|endoftext|>", "日本", "a\u0301", "\r", "\x0b", "9" * 50, "İ", "ﬁ", "\n"})
+    flat, starts, sizes = tokens.encode(pa.array(words))
+    for w, e, a, n in zip(words, tokens.library.encode_batch(words, add_special_tokens=False), starts, sizes):
+        assert flat[a : a + n].tolist() == e.ids, w
+    data = pa.array(words)
+    assert tokens.plain_chunks(np.frombuffer(data.buffers()[2], np.uint8), np.array([len(w.encode()) for w in words]), data).mean() > 0.9
 
 
 def test_packing(odd, nothing):
