@@ -139,6 +139,15 @@ def _components(mask: np.ndarray, diagonal: bool) -> tuple[np.ndarray, int]:
 
 def contours(mask: np.ndarray) -> list[np.ndarray]:
     """Points (x, y) on the outline of each part of a mask and around each of its holes."""
+    rows, columns = np.flatnonzero(mask.any(axis=1)), np.flatnonzero(mask.any(axis=0))
+    if not len(rows):
+        return []
+    # Only what lies between the first and the last cells that are set is looked at.
+    corner = np.array([columns[0], rows[0]])
+    return [points + corner for points in _contours(mask[rows[0] : rows[-1] + 1, columns[0] : columns[-1] + 1])]
+
+
+def _contours(mask: np.ndarray) -> list[np.ndarray]:
     found = []
     grown = np.pad(mask, 1)
     labels, n = _components(grown, True)
@@ -170,9 +179,16 @@ def _split(owner: np.ndarray, n: int):
             yield k, rows
 
 
+def _ends(points: np.ndarray, axis: int) -> np.ndarray:
+    """The first and the last of the points with the same coordinate on an axis."""
+    own = points[np.lexsort((points[:, 1 - axis], points[:, axis]))]
+    first = np.append(True, own[1:, axis] != own[:-1, axis])
+    return own[first | np.append(first[1:], True)]
+
+
 def hull(points: np.ndarray) -> np.ndarray:
-    """Convex hull, by Andrew's monotone chains."""
-    p = np.unique(np.asarray(points, np.float64), axis=0)
+    """Convex hull, by Andrew's monotone chains over points that end both their row and their column."""
+    p = np.unique(_ends(_ends(np.asarray(points, np.float64), 0), 1), axis=0)
     if len(p) < 3:
         return p
 
@@ -259,9 +275,10 @@ def box_score(prob: np.ndarray, box: np.ndarray) -> float:
     rows, first, last = spans(np.floor(box), *prob.shape)
     if not len(rows):
         return 0.0
-    ends = np.cumsum(np.pad(prob[rows].astype(np.float64), ((0, 0), (1, 0))), axis=1)
-    k = np.arange(len(rows))
-    return float((ends[k, last + 1] - ends[k, first]).sum() / (last + 1 - first).sum())
+    left = int(first.min())
+    ends = np.cumsum(np.pad(prob[rows[0] : rows[-1] + 1, left : int(last.max()) + 1].astype(np.float64), ((0, 0), (1, 0))), axis=1)
+    k = rows - rows[0]
+    return float((ends[k, last + 1 - left] - ends[k, first - left]).sum() / (last + 1 - first).sum())
 
 
 def grow(box: np.ndarray, s: Settings = DEFAULTS) -> np.ndarray:

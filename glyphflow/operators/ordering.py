@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from glyphflow.config import DEFAULTS
 
 #: Boxes of a page up to which the fold over arrays is used; it copies the array for each box.
-FOLD = 128
+FOLD = 16
 
 
 def order_array(boxes: Column, line: int = DEFAULTS.same_line) -> Column:
