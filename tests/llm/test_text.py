@@ -3,6 +3,7 @@
 import hashlib
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -357,6 +358,53 @@ def test_every_language_has_a_model(spark):
     assert quality.quality_report(docs, labels).where("threshold is null").count() == 0
 
 
+def test_models_and_thresholds_of_all_trusted_documents(spark):
+    """Against counts of every trusted text; for the threshold a half's documents meet the counts of the other half."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(["some", "words", "of", "text", "seen", "here", f"v{i}"], 12)) + chr(97 + i % 26) * (i % 9)) for i in range(300)]
+    langs = {i: "en" if i < 200 else None if i < 260 else "xx" for i in range(300)}
+    docs = documents(spark, rows, langs)
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(270)], "doc_id long, quality int")
+    halves = {r["k"]: r["half"] for r in docs.select(F.col("doc_id").alias("k")).select("k", quality._half("k").alias("half")).collect()}
+    good = [i for i in range(270) if i % 10]
+    assert {halves[i] for i in good} == {0, 1}
+
+    def model(own, letters):
+        syms = [letters.symbols(K.points(rows[i][1])) for i in own]
+        sizes = np.array([len(x) for x in syms])
+        codes, n = np.unique(K.grams(np.concatenate(syms), np.cumsum(sizes) - sizes), return_counts=True)
+        table = K.surprise(codes, n)
+        return table, (table[codes] * n).sum() / n.sum() / K.STEP
+
+    fitted = quality.fit(quality._rows(docs, "doc_id", "text", "lang"), quality.trusted_keys(labels))
+    assert set(fitted.tables) == set(fitted.limits) == {"en", quality.ALL}
+    for lang, trained, judged in (("en", [i for i in good if i < 200], [i for i in good if i < 200]), (quality.ALL, good, [i for i in good if i >= 200])):
+        points = Counter(K.points("".join(rows[i][1] for i in trained)).tolist())
+        letters, table, mean = fitted.tables[lang].value
+        assert letters.letters.tolist() == K.Alphabet.of(points).letters.tolist()
+        want, want_mean = model(trained, letters)
+        assert (table == want).all() and abs(mean - want_mean) < 1e-9
+        scores = []
+        for half in (0, 1):
+            other, other_mean = model([i for i in trained if halves[i] != half], letters)
+            for i in judged:
+                if halves[i] == half:
+                    syms = letters.symbols(K.points(rows[i][1]))
+                    scores.append((other[K.grams(syms, np.array([0]))].sum(dtype=int) / K.STEP + quality.PRIOR * other_mean) / (len(syms) + quality.PRIOR))
+        assert abs(fitted.limits[lang] - sorted(scores)[int(np.ceil(quality.QUANTILE * len(scores))) - 1]) < 1e-9
+
+
+def test_the_filter_of_trusted_keys_loses_none(spark, monkeypatch):
+    keys = spark.range(0, 4000, 3).select(F.col("id").alias("k"))
+    rows = spark.range(4000).select(F.col("id").alias("k")).unionAll(spark.sql("select cast(null as long)"))
+    for bits in (64, 1 << 12, 1 << 20):
+        monkeypatch.setattr(quality, "BITS", bits)
+        found = {r["k"] for r in quality._perhaps(rows, keys).collect()}
+        assert found >= set(range(0, 4000, 3)) and (bits < 1 << 20 or len(found) < 1400)
+    as_text = rows.select(F.col("k").cast("string").alias("k"))
+    assert quality._perhaps(as_text, keys).join(keys, "k").count() == 1334
+
+
 def test_a_worker_holds_few_tables(monkeypatch):
     class Table:
         loads = 0
