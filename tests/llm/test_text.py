@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from glyphflow.llm import kneser_ney as K
 from glyphflow.llm import pii, pseudo_likelihood, quality, secrets, sql, window_network
+from glyphflow.llm.common import one_thread
 from glyphflow.llm.trigrams import trigram_query
 
 from ..conftest import DATA
@@ -492,6 +493,71 @@ def test_rounds_train_on_every_position_once():
     assert (sum(pseudo_likelihood.in_round(inside, k).astype(int) for k in range(pseudo_likelihood.ROUNDS)) == 1).all()
 
 
+def test_a_step_costs_little_more_than_its_products():
+    """A batch's step against what the network can't do without on it: its powers of e, its tanh and its six products."""
+    one_thread()
+    rng = np.random.default_rng(3)
+    n, hidden, side = 2048, window_network.HIDDEN, window_network.SIDE
+    often = 1 / np.arange(1, window_network.TOKENS + 1)
+    tokens = rng.choice(window_network.TOKENS, 20 * n + 4, p=often / often.sum()).astype(np.uint16)
+    trainer = window_network.Trainer(window_network.start(np.bincount(tokens, minlength=window_network.TOKENS)))
+    h, logits, weights = (rng.standard_normal(s).astype(np.float32) for s in ((n, hidden), (n, side), (hidden, side)))
+    room, narrow = np.empty_like(logits), np.empty_like(h)
+
+    def least():
+        np.tanh(h, out=narrow)
+        for _ in range(2):
+            np.exp(logits, out=room)
+            np.matmul(h, weights, out=room)
+            np.matmul(logits, weights.T, out=narrow)
+            h.T @ logits
+
+    def seconds(run, times):
+        began = time.thread_time()
+        for _ in range(times):
+            run()
+        return time.thread_time() - began
+
+    steps, needed = [], []
+    for _ in range(12):  # in turn, as the machine's speed changes
+        steps.append(seconds(lambda: trainer.train(tokens, np.arange(2, 20 * n + 2)), 1))
+        needed.append(seconds(least, 20))
+    assert np.median(np.array(steps) / needed) < 3.9
+
+
+def test_sums_of_rows_by_number():
+    """Against a sum row by row: numbers with one row, with FEW, and with many more."""
+    rng = np.random.default_rng(4)
+    values = rng.standard_normal((700, 5))
+    for index in (rng.integers(0, 3000, 2800), rng.integers(0, 9, 1400), np.arange(700), np.zeros(700, int), np.repeat(np.arange(700 // 4), 4) ** 2 // 9):
+        seen, sums = window_network._summed(index.astype(np.uint16), values)
+        want = {}
+        for k, number in enumerate(index.tolist()):
+            want[number] = want.get(number, 0) + values[k % 700]
+        assert seen.tolist() == sorted(want)
+        assert np.allclose(sums, [want[number] for number in seen.tolist()])
+
+
+def test_words_and_their_hashes():
+    """Words against their definition; a hash is a word's own, whatever lies beside it and however long it is."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abXY e\u0301\u5b57\U0001d11e\t\n\x0b  "), rng.integers(0, 50))) for _ in range(500)]
+    texts += ["", " ", *(" ".join(c * (pseudo_likelihood.LONG + k) for c in "ab\u00e9" for k in (-1, 0, 1)) for _ in range(2)), "q" * 5000 + "r " + "q" * 5000]
+    want = [re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) for t in texts]
+    numbers = {}
+    codes = [numbers.setdefault(w, len(numbers)) for own in want for w in own]
+    for kind in (pa.string(), pa.large_string()):
+        hashes, shared, got, ends = pseudo_likelihood.words_of(pa.array(["left out", *texts], kind).slice(1))
+        assert got.tolist() == codes and np.diff(ends).tolist() == [len(own) for own in want]
+        assert len(set(hashes.tolist())) == len(numbers)
+        for k in range(0, len(numbers), 7):
+            alone = pseudo_likelihood.words_of(pa.array([list(numbers)[k]], kind))
+            assert (alone[0][0], alone[1][0]) == (hashes[k], shared[k])
+    assert [len(x) for x in pseudo_likelihood.words_of(pa.array(["", " "]))] == [0, 0, 0, 3]
+
+
 def test_scores(spark, odd, nothing):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     found = {r["doc_id"]: r for r in pseudo_likelihood.pseudo_likelihood(docs).collect()}
