@@ -55,3 +55,15 @@ def test_classifier_inputs_are_made_block_by_block():
 @pytest.mark.parametrize("name", ["classifier_inputs"])
 def test_ids_are_dealt_out_to_all_tasks(spark, name):
     assert QUERIES[name](spark, DATA).rdd.getNumPartitions() >= 16
+
+
+def test_recogniser_batches_are_made_block_by_block():
+    g = np.random.default_rng(2)
+    crops = [random_image(g, 12, 70), random_image(g, 40, 90), random_image(g, 9, 100)]
+    found = raster.recogniser_input(crops)
+    assert found.shape[3] == int(48 * 100 / 9)
+    for own, crop in zip(found, crops, strict=True):
+        used = min(found.shape[3], int(np.ceil(48 * crop.shape[1] / crop.shape[0])))
+        want = (sampled(crop, used, 48).astype(np.float32) / 255 - 0.5) / 0.5
+        assert np.array_equal(own[:, :, :used], want.transpose(2, 0, 1)) and not own[:, :, used:].any()
+    assert peak_of(lambda: raster.recogniser_input(crops)) < 2 * found.nbytes + 2**20
