@@ -16,7 +16,7 @@ from glyphflow.operators import ctc, suppression
 from glyphflow.plans import contract as C
 from glyphflow.plans.engine import EngineConfig, create_engine
 from glyphflow.plans.inference import StubLoader
-from glyphflow.plans.sinks import result_json
+from glyphflow.plans.sinks import json_rows
 from glyphflow.schema import IMAGE, RESULT
 from glyphflow.sources.images import list_images, read_images
 from glyphflow.storage import new_path
@@ -296,10 +296,9 @@ def json_results(spark, sf_dir):
     """Results as the JSON that is written for an image, read back by Spark."""
     results = C.assembly.assemble(*C._items(spark, sf_dir))
 
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [result_json(str(p), n, items) for p, n, items in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["page", "json"])
+        return json_rows(batches, ["page", "json"])
 
     back = results.select("page", "text_count", "items").mapInArrow(write, "page long, json string").select("page", F.from_json("json", RESULT).alias("r"))
     return C.totals(back.select("page", "r.text_count", "r.items"))

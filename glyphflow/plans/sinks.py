@@ -37,6 +37,39 @@ def result_json(path: str, count: int, items: list[dict]) -> str:
     return json.dumps({"input_path": path, "text_count": count, "items": rows}, ensure_ascii=False, indent=2)
 
 
+_HELD = 1 << 22  # characters of JSON that are handed on at once
+
+
+def json_rows(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """A result's key and JSON, from batches of key, number of texts and items.
+
+    A batch of Spark's has rows of a given number, whatever their items weigh:
+    only one result is Python objects at a time, and texts are handed on by size.
+    """
+
+    def handed(keys: list, made: list[str], kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(made, pa.string())], names)
+
+    for batch in batches:
+        keys, made, size, kind = [], [], 0, batch.column(0).type
+        for row in rows_of(batch):
+            key, count, items = row.values()
+            keys.append(key)
+            made.append(result_json(str(key), count, items))
+            size += len(made[-1])
+            if size >= _HELD:
+                yield handed(keys, made, kind)
+                keys, made, size = [], [], 0
+        if keys:
+            yield handed(keys, made, kind)
+
+
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, each made when it is asked for."""
+    for k in range(batch.num_rows):
+        yield {name: column[k].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+
+
 def svg(width: int, height: int, items: list[dict], s: Settings = DEFAULTS) -> str:
     """Outlines and labels on a transparent ground; a turned region's label runs down beside it."""
     font, out = max(s.least_font, height // s.font_share), [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">']
@@ -91,7 +124,7 @@ def write_files(results: DataFrame, folder: str, show_text: bool = True, s: Sett
 
         os.makedirs(folder, exist_ok=True)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 base = f"{folder}/{row['stem']}"
                 with open(f"{base}.json", "w", encoding="utf-8") as f:
                     f.write(result_json(row["input_path"], row["text_count"], row["items"]))

@@ -3,11 +3,12 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from glyphflow.config import DEFAULTS
 from glyphflow.functions import raster
-from glyphflow.plans import kernel_queries  # noqa: F401 (registers its queries)
+from glyphflow.plans import kernel_queries, sinks  # noqa: F401 (registers its queries)
 from glyphflow.plans.contract import QUERIES
 
 from .conftest import DATA
@@ -67,3 +68,26 @@ def test_recogniser_batches_are_made_block_by_block():
         want = (sampled(crop, used, 48).astype(np.float32) / 255 - 0.5) / 0.5
         assert np.array_equal(own[:, :, :used], want.transpose(2, 0, 1)) and not own[:, :, used:].any()
     assert peak_of(lambda: raster.recogniser_input(crops)) < 2 * found.nbytes + 2**20
+
+
+def test_json_of_a_batch_is_made_result_by_result():
+    import json
+
+    item = {"text": "a", "score": 0.5, "polygon": [[1, 2], [3, 2], [3, 4], [1, 4]], "angle": 0}
+    kind = pa.list_(pa.struct({"text": pa.string(), "score": pa.float64(), "polygon": pa.list_(pa.list_(pa.int32())), "angle": pa.int32()}))
+    one = pa.RecordBatch.from_arrays([pa.array([7], pa.int64()), pa.array([300], pa.int32()), pa.array([[item] * 300], kind)], ["page", "text_count", "items"])
+    batch = pa.concat_batches([one] * 200)
+    most, found = 0, 0
+
+    def read():
+        nonlocal most, found
+        for made in sinks.json_rows(iter([batch]), ["page", "json"]):
+            assert made.column(0).to_pylist() == [7] * made.num_rows
+            assert json.loads(made.column(1)[0].as_py()) == {"input_path": "7", "text_count": 300, "items": [item] * 300}
+            most, found = max(most, made.nbytes), found + made.num_rows
+
+    peak = peak_of(read)
+    assert found == 200 and most < 5 * 2**20
+    # All rows at once were 60,000 items as Python objects and all their JSON.
+    assert peak < 20 * 2**20
+    assert not list(sinks.json_rows(iter([batch.slice(0, 0)]), ["page", "json"]))
