@@ -8,6 +8,7 @@ import pytest
 
 from glyphflow.config import DEFAULTS
 from glyphflow.functions import raster
+from glyphflow.operators import characters
 from glyphflow.plans import kernel_queries, sinks  # noqa: F401 (registers its queries)
 from glyphflow.plans.contract import QUERIES
 
@@ -91,3 +92,13 @@ def test_json_of_a_batch_is_made_result_by_result():
     # All rows at once were 60,000 items as Python objects and all their JSON.
     assert peak < 20 * 2**20
     assert not list(sinks.json_rows(iter([batch.slice(0, 0)]), ["page", "json"]))
+
+
+def test_characters_are_counted_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(characters, "_SLICE", 10)
+    texts = ["", None, "a" * 25, "é😀", "bc" * 4]
+    batches = [pa.RecordBatch.from_arrays([pa.array(t, pa.string())], ["text"]) for t in (texts, texts)]
+    parts = list(characters._slices(iter(batches)))
+    assert "".join(parts) == "".join(t or "" for t in texts) * 2 and max(map(len, parts)) < 20
+    found = characters.character_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert dict(map(tuple, found.collect())) == {"a": 25, "é": 1, "😀": 1, "b": 4, "c": 4}
