@@ -1,5 +1,6 @@
 """Pixel kernels: the same values as by definition, for less work; queries that deal their rows out."""
 
+import sys
 import tracemalloc
 
 import numpy as np
@@ -32,6 +33,23 @@ def peak_of(f):
         tracemalloc.stop()
 
 
+def calls_of(f):
+    """Calls, of Python and of C functions, that something takes: its work on small images, whatever the machine."""
+    n = 0
+
+    def see(*_):
+        nonlocal n
+        n += 1
+
+    f()
+    sys.setprofile(see)
+    try:
+        f()
+    finally:
+        sys.setprofile(None)
+    return n
+
+
 def random_image(g, h, w):
     return g.integers(0, 256, (h, w, 3)).astype(np.uint8)
 
@@ -102,3 +120,64 @@ def test_characters_are_counted_in_slices(spark, monkeypatch):
     assert "".join(parts) == "".join(t or "" for t in texts) * 2 and max(map(len, parts)) < 20
     found = characters.character_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
     assert dict(map(tuple, found.collect())) == {"a": 25, "é": 1, "😀": 1, "b": 4, "c": 4}
+
+
+def flooded(mask, diagonal):
+    """Each connected part as a set of cells (y, x), by flooding, in scan order of first cells."""
+    steps = [(0, 1), (0, -1), (1, 0), (-1, 0)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if diagonal else [])
+    left, parts = set(map(tuple, np.argwhere(mask).tolist())), []
+    while left:
+        todo = [min(left)]
+        left.remove(todo[0])
+        part = set(todo)
+        while todo:
+            y, x = todo.pop()
+            near = {(y + a, x + b) for a, b in steps} & left
+            left -= near
+            part |= near
+            todo += near
+        parts.append(part)
+    return parts
+
+
+def test_outlines_equal_those_by_flooding():
+    g = np.random.default_rng(3)
+    beside = [(0, 1), (0, -1), (1, 0), (-1, 0)]
+    for share in (0.1, 0.3, 0.5, 0.6, 0.7, 0.9, 1):
+        for _ in range(6):
+            mask = g.random(g.integers(1, 26, 2)) < share
+            unset = ~np.pad(mask, 1)
+            outer, *holes = flooded(unset, False)
+            gaps = outer.union(*holes)
+            want = [{(y + 1, x + 1) for y, x in part} for part in flooded(mask, True)]
+            want = [{(y, x) for y, x in part if any((y + a, x + b) in gaps for a, b in beside)} for part in want]
+            want += [{(y + a, x + b) for y, x in hole for a, b in beside} - hole for hole in holes]
+            found = [{(y + 1, x + 1) for x, y in points.tolist()} for points in raster.contours(mask)]
+            assert sorted(map(sorted, found)) == sorted(map(sorted, want))
+
+
+def test_outlines_and_fills_take_few_calls():
+    mask = np.zeros((30, 30), bool)
+    mask[3:20, 2:18] = True
+    assert calls_of(lambda: raster.contours(mask)) < 300  # were 1,035
+    mask[6:8, 5:8] = False
+    assert calls_of(lambda: raster.contours(mask)) < 600  # were 1,467
+    lines = np.zeros((300, 300), bool)
+    lines[::3] = True
+    assert calls_of(lambda: raster.contours(lines)) < 5000  # were 8,079
+
+
+def test_fills_equal_those_pixel_by_pixel():
+    g = np.random.default_rng(4)
+    shapes = [np.array([[2, 3], [14, 3], [14, 15], [2, 15]]), np.array([[-5, 4], [60, 4], [60, 9], [-5, 9]]), np.array([[50, 50], [60, 50], [60, 60], [50, 60]])]
+    for p in shapes + [g.integers(-5, 40, (4, 2)) for _ in range(40)]:
+        want = np.zeros((28, 35), bool)
+        for y in range(28):
+            for x in range(35):
+                odd = edge = False
+                for (ax, ay), (bx, by) in zip(p.tolist(), np.roll(p, -1, axis=0).tolist(), strict=True):
+                    cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+                    edge |= min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by) and abs(cross) <= 0.5 * max(abs(bx - ax), abs(by - ay), 1e-9)
+                    odd ^= (ay > y) != (by > y) and (cross > 0) == (by < ay)
+                want[y, x] = odd or edge
+        assert np.array_equal(raster.inside(p, 35, 28), want)
