@@ -181,3 +181,12 @@ def test_fills_equal_those_pixel_by_pixel():
                     odd ^= (ay > y) != (by > y) and (cross > 0) == (by < ay)
                 want[y, x] = odd or edge
         assert np.array_equal(raster.inside(p, 35, 28), want)
+
+
+def test_drawing_takes_few_calls_and_keeps_within_the_image():
+    items = [{"polygon": [[4, 5], [24, 5], [24, 17], [4, 17]], "score": 0.5, "angle": 1}]
+    image = np.full((40, 50, 3), 255, np.uint8)
+    assert calls_of(lambda: raster.draw_boxes(image, items)) < 420  # were 483
+    over = [{"polygon": [[-9, -5], [70, -5], [70, 60], [-9, 60]], "score": 0.95, "angle": 0}, {"polygon": [[60, 60], [70, 60], [70, 70], [60, 70]], "score": 0.95, "angle": 0}]
+    assert (raster.draw_boxes(image, over) == [217, 247, 217]).all()
+    assert (raster.draw_boxes(image, over[1:]) == image).all()
