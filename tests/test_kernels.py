@@ -190,3 +190,22 @@ def test_drawing_takes_few_calls_and_keeps_within_the_image():
     over = [{"polygon": [[-9, -5], [70, -5], [70, 60], [-9, 60]], "score": 0.95, "angle": 0}, {"polygon": [[60, 60], [70, 60], [70, 70], [60, 70]], "score": 0.95, "angle": 0}]
     assert (raster.draw_boxes(image, over) == [217, 247, 217]).all()
     assert (raster.draw_boxes(image, over[1:]) == image).all()
+
+
+def test_boxes_of_a_map_take_few_calls():
+    prob = np.zeros((96, 128), np.float32)
+    prob[20:40, 15:55] = 0.8
+    assert calls_of(lambda: raster.boxes_of_map(prob, 192, 256)) < 1200  # were 2,745
+
+
+def test_hulls_hold_their_points():
+    g = np.random.default_rng(5)
+    for n in (1, 2, 3, 5, 30, 200):
+        for most in (1, 4, 40):
+            points = g.integers(0, most, (n, 2))
+            p = raster.hull(points)
+            assert set(map(tuple, p.tolist())) <= set(map(tuple, points.tolist()))
+            a, b = p, np.roll(p, -1, axis=0)
+            if len(p) > 2:
+                cross = (b - a)[:, 0] * (points[:, None, 1] - a[:, 1]) - (b - a)[:, 1] * (points[:, None, 0] - a[:, 0])
+                assert (cross >= 0).all()
