@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,12 @@ query = C.query
 
 
 def _per_id(spark, sf_dir: str, schema: str, run: Callable[[int], tuple]) -> DataFrame:
-    """A row per event: its id and what ``run`` gives for it.
+    """A row per event: its id and what ``run`` gives for it."""
+    return _per_ids(spark, sf_dir, schema, lambda ids: map(run, ids))
+
+
+def _per_ids(spark, sf_dir: str, schema: str, run: Callable[[list[int]], Iterable[tuple]], most: int = 10_000) -> DataFrame:
+    """The same where ``run`` takes ``most`` ids at a time.
 
     Ids are small and what is done for each is not, so they are dealt out to a
     given number of tasks: by their size alone, few tasks would hold them all.
@@ -35,9 +40,10 @@ def _per_id(spark, sf_dir: str, schema: str, run: Callable[[int], tuple]) -> Dat
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = zip(*((i, *run(i)) for i in batch.column(0).to_pylist()), strict=True)
-            columns = [pa.array(c, f.type) for c, f in zip(found, fields)] if batch.num_rows else [pa.array([], f.type) for f in fields]
-            yield pa.RecordBatch.from_arrays(columns, schema=fields)
+            for at in range(0, batch.num_rows, most):
+                ids = batch.column(0)[at : at + most].to_pylist()
+                found = zip(*((i, *values) for i, values in zip(ids, run(ids), strict=True)), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(found, fields, strict=True)], schema=fields)
 
     return C._read(spark, sf_dir, "events").select("event_id").repartition(_tasks(spark), "event_id").mapInArrow(rows, schema)
 
@@ -74,17 +80,18 @@ def db_boxes(spark, sf_dir):
 def outlines(spark, sf_dir):
     """Outlines of a rectangle, every other one with a hole (whose edge belongs to both outlines), and the pixels of a polygon of that size."""
 
-    def run(i: int) -> tuple:
-        mask = np.zeros((30, 30), bool)
-        w, h = 12 + i % 9, 11 + i % 7
-        mask[3 : 3 + h, 2 : 2 + w] = True
-        if i % 2:
-            mask[6 : 7 + i % 4, 5 : 7 + i % 3] = False
-        found = raster.contours(mask)
-        covered = raster.inside(np.array([[2, 3], [2 + w, 3], [2 + w, 3 + h], [2, 3 + h]]), 30, 30)
-        return len(found), sum(map(len, found)), int(covered.sum())
-
-    return _per_id(spark, sf_dir, "id long, outlines long, points long, covered long", run)
+    def run(ids: list[int]) -> Iterator[tuple]:
+        masks, polygons = np.zeros((len(ids), 30, 30), bool), []
+        for mask, i in zip(masks, ids, strict=True):
+            w, h = 12 + i % 9, 11 + i % 7
+            mask[3 : 3 + h, 2 : 2 + w] = True
+            if i % 2:
+                mask[6 : 7 + i % 4, 5 : 7 + i % 3] = False
+            polygons.append([[2, 3], [2 + w, 3], [2 + w, 3 + h], [2, 3 + h]])
+        covered = raster.inside_of(np.array(polygons), 30, 30).sum(axis=(1, 2)).tolist()
+        return ((len(found), sum(map(len, found)), n) for found, n in zip(raster.contours_of(masks), covered, strict=True))
+
+    return _per_ids(spark, sf_dir, "id long, outlines long, points long, covered long", run, 64)
 
 
 # ---- pixels ----------------------------------------------------------------------------------------------------

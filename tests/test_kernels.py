@@ -209,3 +209,18 @@ def test_hulls_hold_their_points():
             if len(p) > 2:
                 cross = (b - a)[:, 0] * (points[:, None, 1] - a[:, 1]) - (b - a)[:, 1] * (points[:, None, 0] - a[:, 0])
                 assert (cross >= 0).all()
+
+
+def test_many_small_masks_and_polygons_at_once():
+    g = np.random.default_rng(6)
+    for share in (0, 0.3, 0.6, 0.9, 1):
+        masks = g.random((12, *g.integers(1, 20, 2))) < share
+        for own, mask in zip(raster.contours_of(masks), masks, strict=True):
+            want = raster.contours(mask)
+            assert len(own) == len(want) and all(np.array_equal(a, b) for a, b in zip(own, want, strict=True))
+    polygons = g.integers(-5, 40, (20, 4, 2))
+    assert np.array_equal(raster.inside_of(polygons, 35, 28), [raster.inside(p, 35, 28) for p in polygons])
+    masks = np.zeros((64, 30, 30), bool)
+    masks[:, 3:20, 2:18] = True
+    masks[::2, 6:8, 5:8] = False
+    assert calls_of(lambda: raster.contours_of(masks)) < 64 * 60  # one by one up to 295 each
