@@ -72,7 +72,7 @@ def test_classifier_inputs_are_made_block_by_block():
     assert peak_of(lambda: raster.classifier_input(crops[:1])) < 6 * found[:1].nbytes
 
 
-@pytest.mark.parametrize("name", ["classifier_inputs"])
+@pytest.mark.parametrize("name", ["classifier_inputs", "detector_inputs", "resize_double"])
 def test_ids_are_dealt_out_to_all_tasks(spark, name):
     assert QUERIES[name](spark, DATA).rdd.getNumPartitions() >= 16
 
